@@ -23,13 +23,14 @@ def lookup_join(
     *,
     how: str = "inner",
     max_rows: int = MAX_BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join ``facts`` to a table with one row per ``key``.
+    """Join ``facts`` to a table with one row per ``key``; ``small`` skips the size check if known.
 
     A lookup of checked size is broadcast. A larger one is shuffled, and since one key may hold a
     large part of ``facts``, both sides carry a salt that splits every key into ``SALTS`` parts.
     """
-    if fits(lookup, max_rows):
+    if small if small is not None else fits(lookup, max_rows):
         return facts.join(F.broadcast(lookup), key, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
