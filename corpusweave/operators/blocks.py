@@ -39,6 +39,8 @@ def compare_blocks(
     right = placed.withColumnRenamed("_block", "_right").withColumn("_left", every)
 
     def grouped(side: DataFrame):
+        # Fresh aliases keep the two sides apart, as both come from the same table.
+        side = side.select(*[F.col(c).alias(c) for c in side.columns])
         return side.repartition(tasks, "_left", "_right").groupBy("_left", "_right")
 
     return grouped(left).cogroup(grouped(right)).applyInArrow(compare, schema)

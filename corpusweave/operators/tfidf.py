@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusweave.functions import text as tx
 from corpusweave.operators.bounds import MAX_BROADCAST_ROWS, lookup_join
+from corpusweave.operators.numbering import number_rows
 from corpusweave.session import cut_lineage
 
 # A vocabulary of at most this many terms is held on the driver and in every task.
@@ -92,29 +93,12 @@ def most_frequent(statistics: DataFrame, max_features: int | None) -> DataFrame:
 
 
 def with_term_index(vocabulary: DataFrame, bounded: bool = True) -> DataFrame:
-    """Number the terms alphabetically from 0.
-
-    A bounded vocabulary is small enough for one sorted partition. Otherwise terms are range
-    partitioned, numbered within each range, and shifted by the size of the ranges before it.
-    """
-    if bounded:
-        position = F.row_number().over(Window.orderBy("term")) - 1
-        return vocabulary.withColumn("term_index", position.cast("int"))
-    ranged = cut_lineage(
-        vocabulary.repartitionByRange("term").withColumn("_range", F.spark_partition_id())
-    )
-    before = F.sum("size").over(
-        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("size"))
-    starts = starts.select("_range", F.coalesce(before, F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("term")) - 1
-    return (
-        ranged.withColumn("_place", place)
-        .join(F.broadcast(starts), "_range")  # one row per shuffle partition
-        .withColumn("term_index", (F.col("start") + F.col("_place")).cast("int"))
-        .drop("_range", "_place", "start")
-    )
+    """Number the terms alphabetically from 0; a bounded vocabulary fits one sorted partition."""
+    if not bounded:
+        numbered = number_rows(vocabulary, ["term"], "term_index")
+        return numbered.withColumn("term_index", F.col("term_index").cast("int"))
+    position = F.row_number().over(Window.orderBy("term")) - 1
+    return vocabulary.withColumn("term_index", position.cast("int"))
 
 
 def idf(df: Column, n_docs: Column | int) -> Column:

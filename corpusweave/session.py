@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = 8, app: str = "corpusweave") -> SparkSession:
     """A session for tests and benchmarks; on a cluster the submitter sets these."""
@@ -44,3 +47,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so iterative plans stay short and survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="corpusweave-zip-"), "corpusweave")
+    archive = shutil.make_archive(
+        target, "zip", root_dir=os.path.dirname(root), base_dir=os.path.basename(root)
+    )
+    context.addPyFile(archive)  # Spark copies it to the executors
+    _shipped.add(context.applicationId)
