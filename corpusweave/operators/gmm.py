@@ -1,4 +1,9 @@
-"""Gaussian mixtures: Spark ML for full covariances, a distributed EM for the constrained ones."""
+"""Gaussian mixtures by distributed EM.
+
+Spark ML has full covariances only and no floor under them, so it stops with an error where copies
+of a text make a component flat. Here every kind shares one pass per iteration: tasks score their
+rows as matrices and return moments whose size does not depend on the rows.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.functions.vectors import list_column, matrix_of, to_ml
+from corpusweave.functions.vectors import list_column, matrix_of
 from corpusweave.operators.kmeans import fit_kmeans
 from corpusweave.operators.partials import summed
 
@@ -139,50 +143,69 @@ class GmmFit:
         return cls(mixture, (), rows[0]["vector"])
 
 
-def _estimate(stats: dict[str, np.ndarray], kind: str) -> Mixture:
-    """M-step: parameters from summed responsibilities and moments."""
+def _estimate(stats: dict[str, np.ndarray], origin: np.ndarray, kind: str) -> Mixture:
+    """M-step: parameters from responsibilities and moments about each component's origin."""
     mass = stats["mass"] + 10 * np.finfo(float).eps
-    means = stats["first"] / mass[:, None]
+    shift = stats["first"] / mass[:, None]
+    width = origin.shape[1]
     if kind == "tied":
-        spread = (stats["second"] - (means * mass[:, None]).T @ means) / mass.sum()
-        spread = spread + REG_COVAR * np.eye(means.shape[1])
+        spread = (stats["second"] - (shift * mass[:, None]).T @ shift) / mass.sum()
+        spread = spread + REG_COVAR * np.eye(width)
+    elif kind == "full":
+        outer = shift[:, :, None] * shift[:, None, :]
+        spread = stats["second"] / mass[:, None, None] - outer + REG_COVAR * np.eye(width)
     else:
-        spread = np.maximum(stats["second"] / mass[:, None] - np.square(means), 0.0) + REG_COVAR
+        spread = np.maximum(stats["second"] / mass[:, None] - np.square(shift), 0.0) + REG_COVAR
         if kind == "spherical":
             spread = spread.mean(axis=1)
-    return Mixture(mass / mass.sum(), means, spread, kind)
+    return Mixture(mass / mass.sum(), origin + shift, spread, kind)
+
 
+def _moments(
+    df: DataFrame, kind: str, origin: np.ndarray, share: Callable
+) -> dict[str, np.ndarray]:
+    """Sum responsibilities and moments; ``share(batch)`` gives points, shares and log-likelihoods.
 
-def _moments(df: DataFrame, kind: str, k: int, d: int, share: Callable) -> dict[str, np.ndarray]:
-    """Sum responsibilities and moments; ``share(batch)`` gives points, shares and log-likelihoods."""
+    Moments are taken about ``origin`` (k x d), which lies near the means, so that little is lost
+    when squares are subtracted.
+    """
+    k, d = origin.shape
+    second_shape = {"full": (k, d, d), "tied": (d, d)}.get(kind, (k, d))
 
     def fold(batches):
-        mass, first = np.zeros(k), np.zeros((k, d))
-        second = np.zeros((d, d) if kind == "tied" else (k, d))
+        mass, first, second = np.zeros(k), np.zeros((k, d)), np.zeros(second_shape)
         likelihood = np.zeros(1)
         for batch in batches:
             if not batch.num_rows:
                 continue
             points, shares, log_p = share(batch)
             mass += shares.sum(axis=0)
-            first += shares.T @ points
-            second += points.T @ points if kind == "tied" else shares.T @ np.square(points)
             likelihood += log_p.sum()
+            for j in range(k):
+                centred = points - origin[j]
+                weighed = centred * shares[:, j, None]
+                first[j] += weighed.sum(axis=0)
+                if kind == "full":
+                    second[j] += weighed.T @ centred
+                elif kind == "tied":
+                    second += weighed.T @ centred
+                else:
+                    second[j] += (weighed * centred).sum(axis=0)
         return {"mass": mass, "first": first, "second": second, "likelihood": likelihood}
 
-    shapes = {
-        "mass": (k,),
-        "first": (k, d),
-        "second": (d, d) if kind == "tied" else (k, d),
-        "likelihood": (1,),
-    }
+    shapes = {"mass": (k,), "first": (k, d), "second": second_shape, "likelihood": (1,)}
     return summed(df, fold, shapes)
 
 
 def mixture_from_labels(
-    df: DataFrame, k: int, d: int, kind: str = "diag", vector: str = "vector", cluster: str = "cluster"
+    df: DataFrame,
+    origin: np.ndarray,
+    kind: str = "diag",
+    vector: str = "vector",
+    cluster: str = "cluster",
 ) -> Mixture:
-    """M-step from hard labels 0..k-1."""
+    """M-step from hard labels 0..k-1; ``origin`` holds rough centres (or zeros), k x d."""
+    k = len(origin)
 
     def share(batch):
         points = matrix_of(batch.column(0))
@@ -190,20 +213,19 @@ def mixture_from_labels(
         shares[np.arange(len(points)), batch.column(1).to_numpy(zero_copy_only=False)] = 1.0
         return points, shares, np.zeros(len(points))
 
-    return _estimate(_moments(df.select(vector, cluster), kind, k, d, share), kind)
+    return _estimate(_moments(df.select(vector, cluster), kind, origin, share), origin, kind)
 
 
 def em_step(df: DataFrame, mixture: Mixture, vector: str = "vector") -> tuple[Mixture, float, int]:
     """One pass over the rows: new parameters, and the old ones' log-likelihood and row count."""
-    k, d = mixture.means.shape
 
     def share(batch):
         points = matrix_of(batch.column(0))
         return (points, *_normalised(mixture.log_joint(points)))
 
-    stats = _moments(df.select(vector), mixture.covariance_type, k, d, share)
+    stats = _moments(df.select(vector), mixture.covariance_type, mixture.means, share)
     return (
-        _estimate(stats, mixture.covariance_type),
+        _estimate(stats, mixture.means, mixture.covariance_type),
         float(stats["likelihood"][0]),
         round(float(stats["mass"].sum())),
     )
@@ -224,12 +246,9 @@ def fit_gmm(
         raise ValueError(f"covariance_type must be one of {COVARIANCE_TYPES}")
     points = df.select(vector).persist()
     try:
-        if covariance_type == "full":
-            return _fit_full(points, n_clusters, max_iter, tol, seed, vector)
         start = fit_kmeans(points, n_clusters, seed=seed, n_init=1, vector=vector)
         labelled = start.predict(points)
-        width = start.cluster_centers.shape[1]
-        mixture = mixture_from_labels(labelled, n_clusters, width, covariance_type, vector)
+        mixture = mixture_from_labels(labelled, start.cluster_centers, covariance_type, vector)
         seen: list[float] = []
         for _ in range(max_iter):
             improved, total, n = em_step(points, mixture, vector)
@@ -241,20 +260,3 @@ def fit_gmm(
     finally:
         points.unpersist()
 
-
-def _fit_full(points: DataFrame, k: int, max_iter: int, tol: float, seed: int, vector: str) -> GmmFit:
-    n = points.count()
-    features = points.select(to_ml(F.col(vector)).alias("_features"))
-    model = GaussianMixture(
-        featuresCol="_features", k=k, maxIter=max_iter, tol=tol * n, seed=seed
-    ).fit(features)
-    gaussians = model.gaussiansDF.collect()  # k rows
-    spreads = np.array([g["cov"].toArray() for g in gaussians])
-    width = spreads.shape[1]
-    mixture = Mixture(
-        np.array(model.weights),
-        np.array([g["mean"].toArray() for g in gaussians]),
-        spreads + REG_COVAR * np.eye(width),
-        "full",
-    )
-    return GmmFit(mixture, (model.summary.logLikelihood,), vector)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -618,7 +619,7 @@ def gmm_em_step(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     width = rows.select(F.size("vector")).first()[0]
     k = rows.agg(F.max("cluster")).first()[0] + 1
-    improved, _, _ = gmm.em_step(rows, gmm.mixture_from_labels(rows, k, width))
+    improved, _, _ = gmm.em_step(rows, gmm.mixture_from_labels(rows, np.zeros((k, width))))
     cells = [
         (j, i, float(improved.weights[j]), float(improved.means[j, i]))
         for j in range(k)
