@@ -164,19 +164,31 @@ class TfidfModel:
         result = unit.transform(scale.transform(counter.transform(grams)))
         return result.drop("grams", "_counts", "_scaled")
 
-    def weights(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """``(doc_id, term, weight)``, without rows for documents that hold no known term."""
+    def weights(
+        self, docs: DataFrame, text: str = "text", key: str = "doc_id", keep_empty: bool = False
+    ) -> DataFrame:
+        """``(doc_id, term, weight)``.
+
+        A document without any known term has no row, or with ``keep_empty`` one row with a null
+        term and weight 0.
+        """
         names = self._table.select("term", "term_index")
         if self.small:
-            long = entries(self.vectors(docs.select(key, text), text), "tfidf", [key])
-            return long.join(F.broadcast(names), "term_index").select(key, "term", "weight")
+            vectors = self.vectors(docs.select(key, text), text)
+            long = entries(vectors, "tfidf", [key], keep_empty)
+            named = long.join(F.broadcast(names), "term_index", "left" if keep_empty else "inner")
+            return named.select(key, "term", "weight")
         counts = term_frequency(document_terms(docs.select(key, text), self.config, text), key)
         known = lookup_join(
             counts, self._table.select("term", "idf"), "term", F.col(key), max_rows=MAX_BROADCAST_ROWS
         )
         raw = known.withColumn("raw", F.col("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-        return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+        weights = raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+        if not keep_empty:
+            return weights
+        filled = docs.select(key).join(weights, key, "left")
+        return filled.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
     def shape(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """``(n_docs, n_terms, non_zeros)`` of the matrix for ``docs``."""
@@ -224,19 +236,12 @@ def fit_tfidf(docs: DataFrame, config: TfidfConfig = TfidfConfig(), text: str =
     return TfidfModel(config, table, docs.count())
 
 
-def entries(df: DataFrame, vector: str, keep: list[str]) -> DataFrame:
+def entries(df: DataFrame, vector: str, keep: list[str], keep_empty: bool = False) -> DataFrame:
     """Non-zero entries of a sparse ML vector column as ``(*keep, term_index, weight)``."""
     parts = F.unwrap_udt(F.col(vector))
-    return df.select(
-        *keep,
-        F.explode(F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))).alias("e"),
-    ).select(*keep, F.col("e.i").alias("term_index"), F.col("e.v").alias("weight"))
-
-
-def weights_with_empty(docs: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Add one ``(doc_id, null, 0.0)`` row for each document without any known term."""
-    empty = docs.select(key).join(weights.select(key).distinct(), key, "left_anti")
-    zero = empty.select(key, F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight"))
-    return weights.unionByName(zero)
-
-
+    pairs = F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v"))
+    expand = F.explode_outer if keep_empty else F.explode
+    weight = F.coalesce("e.v", F.lit(0.0)) if keep_empty else F.col("e.v")
+    return df.select(*keep, expand(pairs).alias("e")).select(
+        *keep, F.col("e.i").alias("term_index"), weight.alias("weight")
+    )

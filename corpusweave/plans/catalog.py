@@ -67,7 +67,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have a vector, cleaned, with vector and label."""
-    docs = documents(spark, sf_dir).select(
+    docs = spread_documents(spark, sf_dir).select(
         "doc_id", tx.standard_preprocess(F.col("text")).alias("text"), F.col("source").alias("name")
     )
     labels = vectors(spark, sf_dir).select("doc_id", "cluster")
@@ -174,7 +174,7 @@ def stage_cache(spark, sf_dir):
 
 
 def _on_text(spark, sf_dir, column: F.Column, name: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", column.alias(name))
+    return spread_documents(spark, sf_dir).select("doc_id", column.alias(name))
 
 
 @query
@@ -209,13 +209,13 @@ def _positions(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 @query
 def tokenize_ws(spark, sf_dir):
     tokens = tx.tokenize_ws(F.col("text")).alias("tokens")
-    return _positions(documents(spark, sf_dir).select("doc_id", tokens))
+    return _positions(spread_documents(spark, sf_dir).select("doc_id", tokens))
 
 
 @query
 def lemmatize(spark, sf_dir):
     """Lemmas taken from the corpus: a word in -s whose form without it also occurs."""
-    docs = documents(spark, sf_dir).select("doc_id", _tokens().alias("tokens"))
+    docs = spread_documents(spark, sf_dir).select("doc_id", _tokens().alias("tokens"))
     words = docs.select(F.explode("tokens").alias("form")).distinct()
     stems = words.select(F.col("form").alias("lemma"), F.concat("form", F.lit("s")).alias("form"))
     return _positions(lemmatize_by_table(docs, words.join(stems, "form"))).select(
@@ -279,7 +279,7 @@ def remove_urls(spark, sf_dir):
 
 @query
 def corpus_profile(spark, sf_dir):
-    docs = documents(spark, sf_dir).select(
+    docs = spread_documents(spark, sf_dir).select(
         "text", tx.standard_preprocess(F.col("text")).alias("clean_text")
     )
     return rounded(corpus.corpus_profile(docs, "text", "clean_text"), "avg_chars")
@@ -309,7 +309,7 @@ def _kept_terms(spark, sf_dir) -> DataFrame:
 
 @query
 def tfidf_tokens(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", tx.terms(F.col("text")).alias("tokens"))
+    docs = spread_documents(spark, sf_dir).select("doc_id", tx.terms(F.col("text")).alias("tokens"))
     return _positions(docs)
 
 
@@ -367,8 +367,7 @@ def _fit(docs: DataFrame, **settings) -> tfidf.TfidfModel:
 @query
 def tfidf_(spark, sf_dir):
     docs = spread_documents(spark, sf_dir).select("doc_id", "text")
-    weights = _fit(docs).weights(docs)
-    return rounded(tfidf.weights_with_empty(docs, weights), "weight")
+    return rounded(_fit(docs).weights(docs, keep_empty=True), "weight")
 
 
 @query
@@ -548,7 +547,7 @@ def _small_space(spark, sf_dir) -> DataFrame:
 
 @query
 def kmeans_fit(spark, sf_dir):
-    rows = spread(vectors(spark, sf_dir)).drop("cluster").persist()
+    rows = vectors(spark, sf_dir).drop("cluster").persist()
     return kmeans.fit_kmeans(rows, 10).predict(rows).select("doc_id", "cluster")
 
 
@@ -736,7 +735,7 @@ def cluster_size(spark, sf_dir):
 
 
 def _summary(spark, sf_dir) -> DataFrame:
-    rows = spread(labelled_documents(spark, sf_dir)).persist()
+    rows = labelled_documents(spark, sf_dir).persist()
     model = _fit(rows.select("doc_id", "text"))
     summary = interpret.interpret(
         model.vectors(rows), name="name", tfidf="tfidf", vocabulary=model.vocabulary

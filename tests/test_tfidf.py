@@ -74,8 +74,10 @@ def test_empty_documents_stay(small):
     model = fit_tfidf(small)
     vectors = {r["doc_id"]: r["tfidf"] for r in model.vectors(small).collect()}
     assert vectors[4].numNonzeros() == 0 and len(vectors) == 5
-    rows = tfidf.weights_with_empty(small, model.weights(small)).where("term IS NULL").collect()
-    assert sorted(r["doc_id"] for r in rows) == [4, 5]
+    for bounded in (True, False):
+        model.small = bounded
+        rows = model.weights(small, keep_empty=True).where("term IS NULL AND weight = 0").collect()
+        assert sorted(r["doc_id"] for r in rows) == [4, 5]
 
 
 def test_unit_length_whatever_the_partitioning(docs):
