@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.vectors import matrix_of
+from corpusweave.operators.bounds import task_count
 
 BLOCK_ROWS = 1_000
 
@@ -32,7 +33,7 @@ def compare_blocks(
     schema: str,
 ) -> DataFrame:
     """Run ``compare(left_block, right_block)`` for every ordered pair of blocks."""
-    tasks = min(n_blocks * n_blocks, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    tasks = min(n_blocks * n_blocks, 4 * task_count(rows.sparkSession))
     placed = rows.withColumn("_block", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     left = placed.withColumnRenamed("_block", "_left").withColumn("_right", every)

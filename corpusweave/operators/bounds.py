@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_CELLS = 8_000_000  # 64 MB of doubles
@@ -46,7 +46,17 @@ def per_cluster_join(
     )
 
 
+def task_count(spark: SparkSession) -> int:
+    """How many tasks keep the cluster busy.
+
+    The larger of the cores seen now and the shuffle partitions the user chose for the data, as a
+    cluster that grows on demand reports few cores at first.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, partitions)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input read as fewer pieces than there are cores; else leave it as it is."""
+    """Use all cores for a scan read as fewer pieces than there are cores; else leave it as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -84,12 +84,11 @@ def fit_word2vec(
 ) -> tuple[Word2VecModel, DataFrame]:
     """Train word vectors on the corpus; documents get the mean of their words' vectors."""
     words = docs.withColumn("_words", tx.terms(F.coalesce(F.col(text), F.lit(""))))
-    parallel = docs.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(
         vectorSize=width,
         minCount=min_count,
         maxIter=max_iter,
-        numPartitions=parallel,
+        numPartitions=docs.sparkSession.sparkContext.defaultParallelism,
         seed=seed,
         inputCol="_words",
         outputCol="_mean",

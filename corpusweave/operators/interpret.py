@@ -60,7 +60,9 @@ def excerpts(
     shown = [F.substring(text, 1, EXCERPT).alias("closest_sample_text")]
     if name is not None:
         shown.append(F.col(name).alias("closest_sample_name"))
-    # `picked` has one row per cluster; documents are filtered by it before any text moves.
+    # `picked` has one row per cluster. It is kept, as finding it takes a pass over all vectors;
+    # documents are filtered by it before any text moves.
+    picked = picked.persist()
     found = lookup_join(docs.select(key, *shown), picked.select(key), key, F.col(key))
     return picked.join(found, key, "left")
 

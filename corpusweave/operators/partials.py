@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from corpusweave.operators.bounds import task_count
+
 BLOCK_CELLS = 131_072  # 1 MB of doubles
 
 Fold = Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray] | None]
@@ -25,7 +27,7 @@ _PIECES = "name string, block int, slot int, part binary"
 
 def summed(df: DataFrame, fold: Fold, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
     """Sum what ``fold`` returns for each partition of ``df``; ``shapes`` bounds the result."""
-    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    tasks = 2 * task_count(df.sparkSession)
     slots = max(1, math.isqrt(tasks))
 
     def run(batches):

@@ -113,6 +113,17 @@ def preprocess(docs: DataFrame, config: ExperimentConfig, lemmas: Lemmas = None)
     return docs.withColumn("text", finished).drop("_tokens")
 
 
+def _fit_embedder(docs: DataFrame, config: ExperimentConfig, path: str | None) -> TfidfModel:
+    """The fitted vocabulary, read from ``path`` if an earlier run left it there."""
+    spark = docs.sparkSession
+    if path is not None and store.is_complete(spark, path):
+        return TfidfModel.load(spark, path)
+    model = fit_tfidf(docs, config.tfidf_embedding)
+    if path is not None:
+        model.save(path)
+    return model
+
+
 def _reduce(rows: DataFrame, config: ExperimentConfig, embedder: TfidfModel | None) -> DataFrame:
     size, extra = config.reduction.n_components, config.reduction.extra_params
     seed = extra.get("random_state", config.seed)
@@ -167,33 +178,32 @@ def run_experiment(
     name = "name" if "name" in docs.columns else None
     cleaned = preprocess(docs, config, lemmas)
 
+    cached = config.cache.enabled
+    folder, lineage = config.cache.cache_dir, ""
+    if cached or config.embedding_method == "tfidf":
+        cleaned = cleaned.persist()
+    if cached:
+        # The cleaned text stands for the input, the lemmas and the cleaning settings alike.
+        settings = config.settings("tfidf_embedding", "sentence_transformer_embedding")
+        settings["method"] = config.embedding_method
+        lineage = store.fingerprint("embedded", settings, store.content_identity(cleaned))
     embedder = None
     if config.embedding_method == "tfidf":
-        cleaned = cleaned.persist()
-        embedder = fit_tfidf(cleaned, config.tfidf_embedding)
-        embedded = embedder.vectors(cleaned)
+        embedder = _fit_embedder(cleaned, config, f"{folder}/vocabulary_{lineage}" if cached else None)
+        fresh = embedder.vectors(cleaned)
     else:
-        embedded = dense_encode(
+        fresh = dense_encode(
             cleaned, make_encoder, batch_size=config.sentence_transformer_embedding.batch_size
         )
-    lineage = ""
-    if config.cache.enabled:
-        folder = config.cache.cache_dir
-        stage = "tfidf" if embedder else "dense"
-        settings = config.settings("preprocessing", "tfidf_embedding", "sentence_transformer_embedding")
-        # The cleaned text stands for the input, the lemmas and the cleaning settings alike.
-        lineage = store.fingerprint(stage, settings, store.content_identity(cleaned))
-        fresh = embedded
-        embedded = store.cached_stage(spark, folder, stage, lineage, lambda: fresh)
-    else:
-        embedded = embedded.persist()
-
-    if config.cache.enabled:
-        mark = store.fingerprint("reduced", config.settings("reduction") | {"seed": config.seed}, lineage)
+    if cached:
+        embedded = store.cached_stage(spark, folder, "embedded", lineage, lambda: fresh)
+        settings = config.settings("reduction") | {"seed": config.seed}
+        mark = store.fingerprint("reduced", settings, lineage)
         reduced = store.cached_stage(
             spark, folder, "reduced", mark, lambda: _reduce(embedded, config, embedder)
         )
     else:
+        embedded = fresh.persist()
         reduced = _reduce(embedded, config, embedder).persist()
 
     clusterer, rows = _cluster(reduced, config)

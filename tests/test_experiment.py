@@ -96,7 +96,7 @@ def test_cache_is_reused_and_never_shared(spark, themed, tmp_path):
     run_experiment(themed, config(tmp_path))
     assert {p.name: p.stat().st_mtime for p in folder.iterdir()} == first
     run_experiment(themed, config(tmp_path, preprocessing={"token_limit": 5}))
-    assert len(list(folder.iterdir())) == 2 * len(first)
+    assert len(list(folder.iterdir())) == 2 * len(first) == 6
 
 
 def test_stage_without_success_marker_is_rebuilt(spark, tmp_path):
