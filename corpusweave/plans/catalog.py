@@ -417,8 +417,24 @@ def tfidf_transform(spark, sf_dir):
 # --- dense vectors ------------------------------------------------------------------------------
 
 
+class _TextMeasures:
+    """An encoder whose vectors SQL can also compute: characters, words, letters e."""
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.array([[len(t), t.count(" ") + 1, t.count("e")] for t in texts], dtype=float)
+
+
 @query
 def dense_encode(spark, sf_dir):
+    docs = spread_documents(spark, sf_dir).select(
+        "doc_id", tx.light_preprocess(F.col("text"), token_limit=256).alias("text")
+    )
+    encoded = dense.dense_encode(docs, _TextMeasures)
+    return encoded.select("doc_id", F.posexplode("vector").alias("idx", "value"))
+
+
+@query
+def dense_encode_hashing(spark, sf_dir):
     docs = spread_documents(spark, sf_dir).select(
         "doc_id", tx.light_preprocess(F.col("text"), token_limit=256).alias("text")
     )
@@ -517,7 +533,8 @@ def knn_graph(spark, sf_dir):
 
 @query
 def fuzzy_graph(spark, sf_dir):
-    return neighbours.fuzzy_graph(neighbours.knn_graph(vectors(spark, sf_dir), 15), 15)
+    graph = neighbours.knn_graph(vectors(spark, sf_dir), 15)
+    return rounded(neighbours.fuzzy_graph(graph, 15), "weight")
 
 
 @query
@@ -592,14 +609,18 @@ def agglomerative_labels(spark, sf_dir):
     return fitted.predict(rows.select("doc_id")).select("doc_id", "cluster")
 
 
-def _mixture(spark, sf_dir) -> tuple[gmm.GmmFit, DataFrame]:
-    rows = _small_space(spark, sf_dir)
-    return gmm.fit_gmm(rows, 5), rows
+def _label_mixture(spark, sf_dir) -> tuple[gmm.GmmFit, DataFrame]:
+    """A diagonal mixture with the weights, means and variances of the given labels."""
+    rows = vectors(spark, sf_dir)
+    width = rows.select(F.size("vector")).first()[0]
+    k = rows.agg(F.max("cluster")).first()[0] + 1
+    mixture = gmm.mixture_from_labels(rows, np.zeros((k, width)))
+    return gmm.GmmFit(mixture, ()), rows.drop("cluster")
 
 
 @query
 def gmm_fit(spark, sf_dir):
-    fitted, _ = _mixture(spark, sf_dir)
+    fitted = gmm.fit_gmm(_small_space(spark, sf_dir), 5)
     shares = [(i, float(w)) for i, w in enumerate(fitted.mixture.weights)]
     return spark.createDataFrame(shares, "component int, weight double")
 
@@ -615,10 +636,9 @@ def gmm_fit_diag(spark, sf_dir):
 @query
 def gmm_em_step(spark, sf_dir):
     """One step of diagonal EM from the given labels: new weights and means."""
-    rows = vectors(spark, sf_dir)
-    width = rows.select(F.size("vector")).first()[0]
-    k = rows.agg(F.max("cluster")).first()[0] + 1
-    improved, _, _ = gmm.em_step(rows, gmm.mixture_from_labels(rows, np.zeros((k, width))))
+    start, rows = _label_mixture(spark, sf_dir)
+    improved, _, _ = gmm.em_step(rows, start.mixture)
+    k, width = improved.means.shape
     cells = [
         (j, i, float(improved.weights[j]), float(improved.means[j, i]))
         for j in range(k)
@@ -630,20 +650,20 @@ def gmm_em_step(spark, sf_dir):
 
 @query
 def gmm_predict(spark, sf_dir):
-    fitted, rows = _mixture(spark, sf_dir)
+    fitted, rows = _label_mixture(spark, sf_dir)
     return fitted.predict(rows).select("doc_id", "cluster")
 
 
 @query
 def gmm_predict_proba(spark, sf_dir):
-    fitted, rows = _mixture(spark, sf_dir)
-    return fitted.predict_proba(rows)
+    fitted, rows = _label_mixture(spark, sf_dir)
+    return rounded(fitted.predict_proba(rows), "probability")
 
 
 @query
 def gmm_bic(spark, sf_dir):
-    fitted, rows = _mixture(spark, sf_dir)
-    return fitted.bic(rows)
+    fitted, rows = _label_mixture(spark, sf_dir)
+    return fitted.bic(rows).select(F.round("bic", 3).alias("bic"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------

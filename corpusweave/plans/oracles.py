@@ -173,7 +173,8 @@ SPARSE_VARIANCE = f"""WITH {_tf(PLAIN)}, {_vocab()}, {WEIGHTS},
     cols AS (SELECT term, sum(weight) AS s, sum(weight * weight) AS q FROM w GROUP BY term)
     SELECT {_r('sum(q / (SELECT n FROM n) - (s / (SELECT n FROM n)) * (s / (SELECT n FROM n)))')} AS total_variance FROM cols"""
 
-EM_STEP = f"""WITH {VECTORS},
+# A diagonal mixture read off the labels, and each row's share in every component.
+MIXTURE = f"""{VECTORS},
     k AS (SELECT cluster, count(*) AS m FROM pts GROUP BY cluster),
     total AS (SELECT count(*) AS n FROM pts),
     par AS (SELECT cluster, idx, avg(value) AS mu, greatest(avg(value * value) - avg(value) * avg(value), 0) + 1e-6 AS var
@@ -182,16 +183,46 @@ EM_STEP = f"""WITH {VECTORS},
                     sum(-0.5 * ((x.value - mu) * (x.value - mu) / var + ln(var) + ln(2 * pi()))) AS lp
              FROM cells x JOIN par p USING (idx) GROUP BY x.doc_id, p.cluster),
     joint AS (SELECT doc_id, cluster, lp + ln(m / (SELECT n FROM total)) AS lp FROM logp JOIN k USING (cluster)),
-    shares AS (SELECT doc_id, cluster,
-                      exp(lp - max(lp) OVER (PARTITION BY doc_id))
-                      / sum(exp(lp - top)) OVER (PARTITION BY doc_id) AS r
-               FROM (SELECT *, max(lp) OVER (PARTITION BY doc_id) AS top FROM joint)),
+    topped AS (SELECT *, max(lp) OVER (PARTITION BY doc_id) AS top FROM joint),
+    shares AS (SELECT doc_id, cluster, exp(lp - top) / sum(exp(lp - top)) OVER (PARTITION BY doc_id) AS r
+               FROM topped)"""
+
+EM_STEP = f"""WITH {MIXTURE},
     mass AS (SELECT cluster, sum(r) AS m FROM shares GROUP BY cluster)
     SELECT s.cluster AS component, x.idx, {_r('any_value(mass.m) / (SELECT n FROM total)')} AS weight,
            {_r('sum(r * x.value) / any_value(mass.m)')} AS mean
     FROM shares s JOIN cells x USING (doc_id) JOIN mass ON mass.cluster = s.cluster
     GROUP BY s.cluster, x.idx"""
 
+MIXTURE_BIC = f"""WITH {MIXTURE},
+    likelihood AS (SELECT doc_id, max(top) + ln(sum(exp(lp - top))) AS ll FROM topped GROUP BY doc_id),
+    parameters AS (SELECT 2 * count(*) + (SELECT count(*) FROM k) - 1 AS p FROM par)
+    SELECT round(-2 * sum(ll) + any_value(p) * ln(count(*)), 3) AS bic FROM likelihood, parameters"""
+
+KNN = """
+    pairs AS (SELECT a.doc_id AS src, b.doc_id AS dst, list_distance(a.v, b.v) AS distance
+              FROM pts a JOIN pts b ON a.doc_id <> b.doc_id),
+    knn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst)::INTEGER AS rank
+            FROM pairs QUALIFY rank <= 14)"""
+
+# Sigma by 64 halvings for every row at once, then the floor, the strengths and the two directions.
+FUZZY = f"""WITH RECURSIVE {VECTORS}, {KNN},
+    lists AS (SELECT src, list(distance ORDER BY rank) AS d, list(dst ORDER BY rank) AS t FROM knn GROUP BY src),
+    near AS (SELECT *, coalesce(list_min(list_filter(d, lambda x: x > 0)), 0.0) AS rho FROM lists),
+    search AS (
+        SELECT src, d, rho, 0 AS step, 0.0::DOUBLE AS lo, 'infinity'::DOUBLE AS hi, 1.0::DOUBLE AS mid FROM near
+        UNION ALL
+        SELECT src, d, rho, step + 1, lo2, hi2, CASE WHEN isinf(hi2) THEN mid * 2 ELSE (lo2 + hi2) / 2 END
+        FROM (SELECT src, d, rho, step, mid, CASE WHEN wide THEN lo ELSE mid END AS lo2,
+                     CASE WHEN wide THEN mid ELSE hi END AS hi2
+              FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / mid))) > log2(15) AS wide
+                    FROM search WHERE step < 64))),
+    sigmas AS (SELECT src, greatest(mid, 1e-3 * list_sum(d) / (len(d) + 1)) AS sigma FROM search WHERE step = 64),
+    directed AS (SELECT knn.src, dst, exp(-greatest(distance - rho, 0) / sigma) AS w
+                 FROM knn JOIN near USING (src) JOIN sigmas USING (src)),
+    both_ways AS (SELECT src, dst, w AS a, 0.0::DOUBLE AS b FROM directed UNION ALL SELECT dst, src, 0.0::DOUBLE, w FROM directed)
+    SELECT src, dst, {_r('max(a) + max(b) - max(a) * max(b)')} AS weight FROM both_ways GROUP BY src, dst"""
+
 CENTER_CELLS = f"WITH {VECTORS} SELECT cluster, idx, {_r('value')} AS value FROM means"
 CLUSTER_SIZES = "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label"
 SAVED_LABELS = "SELECT vec_id AS doc_id, label AS cluster FROM embeddings"
@@ -263,6 +294,9 @@ ORACLES: dict[str, str] = {
             (SELECT item_id AS doc_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY doc_id, term),
         raw AS (SELECT doc_id, term, tf * idf AS raw FROM new_tf JOIN vocab USING (term))
         SELECT doc_id, term, {_r('raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))')} AS weight FROM raw""",
+    "dense_encode": f"""SELECT doc_id, unnest([0, 1, 2]) AS idx,
+        unnest([length(t), length(t) - length(replace(t, ' ', '')) + 1, length(t) - length(replace(t, 'e', ''))])::DOUBLE AS value
+        FROM (SELECT doc_id, array_to_string(({_split("coalesce(text, '')")})[1:256], ' ') AS t FROM documents)""",
     "precomputed_embeddings": f"""SELECT doc_id, source, idx, {_r('value')} AS value FROM
         (SELECT doc_id, source, unnest(range(len(embedding)))::INTEGER AS idx, unnest(embedding::DOUBLE[]) AS value
          FROM documents JOIN embeddings ON doc_id = vec_id)""",
@@ -275,10 +309,8 @@ ORACLES: dict[str, str] = {
     "covariance": f"""WITH {VECTORS} SELECT a.idx AS i, b.idx AS j, {_r('covar_samp(a.value, b.value)')} AS cov
         FROM cells a JOIN cells b ON a.doc_id = b.doc_id AND a.idx <= b.idx GROUP BY a.idx, b.idx""",
     "sparse_total_variance": SPARSE_VARIANCE,
-    "knn_graph": f"""WITH {VECTORS} SELECT src, dst, {_r('distance')} AS distance, rank FROM (
-        SELECT a.doc_id AS src, b.doc_id AS dst, list_distance(a.v, b.v) AS distance,
-               row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.v, b.v), b.doc_id)::INTEGER AS rank
-        FROM pts a JOIN pts b ON a.doc_id <> b.doc_id) WHERE rank <= 14""",
+    "knn_graph": f"WITH {VECTORS}, {KNN} SELECT src, dst, {_r('distance')} AS distance, rank FROM knn",
+    "fuzzy_graph": FUZZY,
     "to_dense": f"""WITH {_tf(PLAIN)}, {_vocab(limit=50)}, {WEIGHTS}
         SELECT doc_id, term_index, {_r('coalesce(weight, 0.0)')} AS weight
         FROM corpus CROSS JOIN vocab LEFT JOIN w USING (doc_id, term)""",
@@ -291,6 +323,10 @@ ORACLES: dict[str, str] = {
         FROM pts JOIN centers USING (cluster)""",
     "agglomerative_labels": SAVED_LABELS,
     "gmm_em_step": EM_STEP,
+    "gmm_predict": f"""WITH {MIXTURE} SELECT doc_id, cluster FROM shares
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r DESC, cluster) = 1""",
+    "gmm_predict_proba": f"WITH {MIXTURE} SELECT doc_id, cluster AS component, {_r('r')} AS probability FROM shares",
+    "gmm_bic": MIXTURE_BIC,
     "n_clusters_found": "SELECT count(DISTINCT label) FILTER (label <> -1) AS n_clusters_found FROM embeddings",
     "n_samples": "SELECT count(*) AS n_samples FROM embeddings",
     "silhouette": f"WITH {VECTORS}, {SILHOUETTE} SELECT {_r('silhouette_score')} AS silhouette_score FROM sil",
