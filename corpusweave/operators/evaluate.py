@@ -140,33 +140,54 @@ def davies_bouldin(
             F.count(F.lit(1)).alias("size"),
         )
     )
-    described = spread.join(centers.select("cluster", "centroid"), "cluster")
-    # One row holds all k centroids, as each of the k rows must see every other.
-    others = described.agg(F.collect_list(F.struct("cluster", "centroid", "spread"))).scalar()
-    gap = lambda other: distance(F.col("centroid"), other["centroid"])
-    per_cluster = described.withColumn("others", others).select(
-        "size",
-        "spread",
-        F.transform(
-            "others",
-            lambda other: F.struct(
-                gap(other).alias("gap"), (F.col("spread") + other["spread"]).alias("width")
-            ),
-        ).alias("pairs"),
+    described = spread.join(centers.select("cluster", "centroid"), "cluster").select(
+        F.col("cluster").cast("string").alias("cluster"), "size", "spread", "centroid"
     )
-    worst = F.array_max(
-        F.transform("pairs", lambda p: F.when(p["gap"] > 0, p["width"] / p["gap"]).otherwise(0.0))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _RATIOS.empty_table()
+        gap = distances(left, right, "centroid")
+        width = np.add.outer(left["spread"].to_numpy(), right["spread"].to_numpy())
+        ratio = np.divide(width, gap, out=np.zeros_like(gap), where=gap > 0)
+        return pa.table(
+            {
+                "cluster": left["cluster"],
+                "size": left["size"],
+                "spread": left["spread"],
+                "worst": pa.array(ratio.max(axis=1)),
+                "farthest": pa.array(gap.max(axis=1)),
+            }
+        )
+
+    # A cluster's distance to itself is 0 and drops out like that of coinciding centroids.
+    n_blocks = blocks_for(centers.count())
+    per_cluster = (
+        compare_blocks(described, "cluster", n_blocks, compare, _RATIOS_DDL)
+        .groupBy("cluster", "size", "spread")
+        .agg(F.max("worst").alias("worst"), F.max("farthest").alias("farthest"))
     )
-    farthest = F.array_max(F.transform("pairs", lambda p: p["gap"]))
     k, n = F.count(F.lit(1)), F.sum("size")
-    flat = (F.max("spread") <= NEAR_ZERO) | (F.max(farthest) <= NEAR_ZERO)
+    flat = (F.max("spread") <= NEAR_ZERO) | (F.max("farthest") <= NEAR_ZERO)
     return per_cluster.agg(
-        F.when((k >= 2) & (k < n), F.when(flat, 0.0).otherwise(F.avg(worst))).alias(
+        F.when((k >= 2) & (k < n), F.when(flat, 0.0).otherwise(F.avg("worst"))).alias(
             "davies_bouldin_index"
         )
     )
 
 
+_RATIOS = pa.schema(
+    [
+        ("cluster", pa.string()),
+        ("size", pa.int64()),
+        ("spread", pa.float64()),
+        ("worst", pa.float64()),
+        ("farthest", pa.float64()),
+    ]
+)
+_RATIOS_DDL = "cluster string, size bigint, spread double, worst double, farthest double"
+
+
 def evaluate(
     df: DataFrame,
     config: EvaluationConfig = EvaluationConfig(),

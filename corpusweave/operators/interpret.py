@@ -87,6 +87,12 @@ def top_keywords(
     return means.where("mean_weight > 0").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def with_terms(ranked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Put terms in place of vector indices; a vocabulary with vectors is of bounded size."""
+    names = vocabulary.select("term", "term_index")
+    return ranked.join(F.broadcast(names), "term_index").drop("term_index")
+
+
 def keyword_lists(ranked: DataFrame, cluster: str = "cluster", term: str = "term") -> DataFrame:
     """One array of terms per cluster, best first."""
     in_order = F.array_sort(F.collect_list(F.struct("rank", term)))
@@ -130,8 +136,7 @@ def interpret(
         best = top_keywords(
             entries(df, tfidf, [cluster]), sizes, top_k_keywords, cluster, "term_index"
         )
-        named = vocabulary.select("term", "term_index").join(F.broadcast(best), "term_index")
-        lists = keyword_lists(named, cluster)
+        lists = keyword_lists(with_terms(best, vocabulary), cluster)
         columns.append("top_keywords")
         summary = summary.join(lists, cluster, "left")
     return summary.select(*columns).orderBy("cluster_id")

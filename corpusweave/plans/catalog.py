@@ -745,7 +745,7 @@ def top_keywords(spark, sf_dir):
     best = interpret.top_keywords(
         weights, evaluate.cluster_sizes(docs, "source"), 15, "source", "term_index"
     )
-    named = model.vocabulary.select("term", "term_index").join(F.broadcast(best), "term_index")
+    named = interpret.with_terms(best, model.vocabulary)
     return rounded(named.select("source", "rank", "term", "mean_weight"), "mean_weight")
 
 
