@@ -62,6 +62,10 @@ class Experiment:
         sizes = cluster_sizes(self.rows)
         return size_histogram(sizes), size_share(sizes)
 
+    def release(self) -> None:
+        """Free the cached working table."""
+        self.rows.unpersist()
+
     def write(self, folder: str | None = None) -> str:
         """Write all results below ``folder`` (default: the experiment's own output folder)."""
         spark = self.rows.sparkSession
@@ -208,6 +212,7 @@ def run_experiment(
 
     clusterer, rows = _cluster(reduced, config)
     rows = rows.persist()
+    cleaned.unpersist()  # by now the embedded rows are stored or cached themselves
     result = Experiment(
         config=config,
         rows=rows,

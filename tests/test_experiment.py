@@ -59,6 +59,7 @@ def test_experiment_finds_and_explains_themes(spark, themed, tmp_path):
     assert metrics["silhouette_score"] > 0.3 and sum(metrics["cluster_sizes"].values()) == 60
     assert spark.read.parquet(f"{out}/plots/scatter").select("method").distinct().count() == 1
     assert spark.read.json(f"{out}/interpretations/cluster_interpretations").count() == 3
+    result.release()
     loaded = store.load_model(spark, f"{out}/models/clusterer")
     assert isinstance(loaded, kmeans.KMeansFit)
 
@@ -145,7 +146,7 @@ def test_yaml(tmp_path):
 
 
 def test_presets():
-    assert set(presets.PRESETS) == {"tfidf_kmeans", "tfidf_gmm", "sbert_agglomerative"}
+    assert set(presets.PRESETS) == {"tfidf_kmeans", "tfidf_gmm", "dense_ward"}
     assert presets.TFIDF_KMEANS.clustering.n_clusters == 15
 
 
