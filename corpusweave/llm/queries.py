@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusweave.llm.byte_bpe import encode_bytes
+from corpusweave.llm.quality_classifier import fit_quality, held_out, score_quality
+from corpusweave.llm.simhash import simhash_groups
 from corpusweave.llm.token_counts import count_tokens
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,3 +36,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BPE_JSON)
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()), "quality")
+    scored = score_quality(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
