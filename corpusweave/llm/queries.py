@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusweave.llm.byte_bpe import encode_bytes
 from corpusweave.llm.quality_classifier import fit_quality, held_out, score_quality
+from corpusweave.llm.quality_rules import quality_rules
 from corpusweave.llm.simhash import simhash_groups
 from corpusweave.llm.token_counts import count_tokens
 
@@ -28,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    rows = quality_rules(table(spark, sf_dir, "documents"), trusted)
+    return rows.drop("text", "lang", "source", "n_chars")
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bytes(table(spark, sf_dir, "documents"), BPE_RANKS, digest=True)
