@@ -11,6 +11,7 @@ from corpusweave.llm.byte_bpe import encode_bytes
 from corpusweave.llm.quality_classifier import fit_quality, held_out, score_quality
 from corpusweave.llm.quality_rules import quality_rules
 from corpusweave.llm.simhash import simhash_groups
+from corpusweave.llm.suffix_dedup import remove_repeats
 from corpusweave.llm.token_counts import count_tokens
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +47,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BPE_JSON)
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
