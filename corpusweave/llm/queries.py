@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusweave.llm.byte_bpe import encode_bytes
+from corpusweave.llm.mixing import mix_sources
 from corpusweave.llm.quality_classifier import fit_quality, held_out, score_quality
 from corpusweave.llm.quality_rules import quality_rules
 from corpusweave.llm.simhash import simhash_groups
@@ -52,6 +53,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
