@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusweave.llm.byte_bpe import encode_bytes
+from corpusweave.llm.html_extract import extract_text
 from corpusweave.llm.mixing import mix_sources
 from corpusweave.llm.quality_classifier import fit_quality, held_out, score_quality
 from corpusweave.llm.quality_rules import quality_rules
 from corpusweave.llm.simhash import simhash_groups
 from corpusweave.llm.suffix_dedup import remove_repeats
 from corpusweave.llm.token_counts import count_tokens
+from corpusweave.llm.token_files import read_token_files, write_token_files
+from corpusweave.llm.vector_search import exact_top_k
+from corpusweave.session import scratch_path
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +43,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("text", "lang", "source", "n_chars")
 
 
+@query
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, BPE_JSON)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bytes(table(spark, sf_dir, "documents"), BPE_RANKS, digest=True)
@@ -48,6 +65,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BPE_JSON)
 
 
+@query
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
