@@ -11,6 +11,7 @@ import base64
 import heapq
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import regex
@@ -63,6 +64,22 @@ def merge(symbols: list, join: Callable) -> tuple[list, int]:
     return [s for s, kept in zip(symbols, alive, strict=True) if kept], merges
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a short piece: the ranks of all neighbours stand in a list whose minimum is merged."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    get, none = ranks.get, len(ranks) + (1 << 32)
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """A rank file: one base-64 token and its rank in each line."""
     ranks = {}
@@ -110,6 +127,7 @@ class RankEncoder(dict):
     def __init__(self, content: bytes):
         super().__init__()
         self.ranks = read_ranks(content)
+        self.pieces: dict[str, bytes] = {}
         self.tokens = [b""] * (1 + max(self.ranks.values(), default=-1))
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -119,6 +137,8 @@ class RankEncoder(dict):
         if whole is not None:
             return [whole]
         ranks = self.ranks
+        if len(piece) <= 64:
+            return merge_short(piece, ranks)
 
         def join(a: bytes, b: bytes):
             rank = ranks.get(a + b)
@@ -129,8 +149,17 @@ class RankEncoder(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHED_UNITS:
             self.clear()
-        ids = [i for piece in PIECE.findall(unit) for i in self.piece_ids(piece.encode())]
-        coded = b"".join(i.to_bytes(4, "little") for i in ids)
+        if len(self.pieces) >= CACHED_UNITS:
+            self.pieces.clear()
+        coded = b""
+        for piece in PIECE.findall(unit):
+            own = self.pieces.get(piece)
+            if own is None:
+                ids = self.piece_ids(piece.encode())
+                own = struct.pack(f"<{len(ids)}I", *ids)
+                if len(piece) <= 64:
+                    self.pieces[piece] = own
+            coded += own
         if len(unit) <= 64:
             self[unit] = coded
         return coded
