@@ -22,7 +22,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 UNIT = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 PIECE = regex.compile(PATTERN)
-CACHED_UNITS = 300_000  # a worker's dictionary is emptied when it holds this many
+CACHED_UNITS = 300_000  # a worker empties its dictionary of units when it holds this many
+CACHED_PIECES = 800_000  # and that of single pre-tokens
 
 
 def merge(symbols: list, join: Callable) -> tuple[list, int]:
@@ -149,7 +150,7 @@ class RankEncoder(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHED_UNITS:
             self.clear()
-        if len(self.pieces) >= CACHED_UNITS:
+        if len(self.pieces) >= CACHED_PIECES:
             self.pieces.clear()
         coded = b""
         for piece in PIECE.findall(unit):

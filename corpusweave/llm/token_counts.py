@@ -30,7 +30,7 @@ class UnitCounts(dict):
     def __missing__(self, unit: str) -> int:
         if len(self) >= bytepairs.CACHED_UNITS:
             self.clear()
-        if len(self.pieces) >= bytepairs.CACHED_UNITS:
+        if len(self.pieces) >= bytepairs.CACHED_PIECES:
             self.pieces.clear()
         total = 0
         for piece, _ in self.splitter.pre_tokenize_str(unit):
