@@ -130,7 +130,10 @@ def quality_rules(
         .withColumn("_ratios", ratios.scalar())
         .withColumn("n_grams", F.size("_grams").cast("long"))
         .withColumn("score_sum", F.expr("aggregate(_grams, 0L, (a, g) -> a + _ratios[g])"))
+        .withColumn("_place", F.monotonically_increasing_id())
     )
     limit = round(threshold * _SCALE)
-    kept = ~F.col("base_failed") & (F.col("score_sum") >= F.col("n_grams") * limit)
+    # a filter on kept must not be moved below the arrays above, where each use would compute them again
+    settled = F.col("_place") >= 0
+    kept = ~F.col("base_failed") & (F.col("score_sum") >= F.col("n_grams") * limit) & settled
     return scored.withColumn("kept", kept).select(*docs.columns, *added)
