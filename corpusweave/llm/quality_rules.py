@@ -89,8 +89,9 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ``trusted`` holds ids. Counts are taken over all documents, one is added to each bucket. Only
     partial counts per bucket are shuffled; the result is as long as the bucket count.
     """
+    # the trusted ids have no size bound, so they are merged with the documents and never broadcast
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    marked = docs.select(id_col, text_col).join(ids.withColumn("_trusted", F.lit(1)), F.col(id_col) == F.col("_id"), "left")
+    marked = docs.select(id_col, text_col).join(ids.withColumn("_trusted", F.lit(1)).hint("merge"), F.col(id_col) == F.col("_id"), "left")
     codes = F.transform(words_of(F.col(text_col)), _word_code)
     counts = (
         marked.select(F.coalesce("_trusted", F.lit(0)).cast("long").alias("t"), codes.alias("_codes"))
