@@ -162,26 +162,27 @@ def repeated_spans(
                         ["_id", "_th", "key", "digest", "start", "n"],
                     )
 
-    path = scratch_path(spark, "contexts")
-    rows.mapInArrow(anchored, f"_id {kind}, _th long, key long, digest long, start int, n int").write.parquet(path)
-    every = spark.read.parquet(path)
-    keys = (
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        frame.write.parquet(path)
+        return spark.read.parquet(path)
+
+    every = written(rows.mapInArrow(anchored, f"_id {kind}, _th long, key long, digest long, start int, n int"), "contexts")
+    # a table of its own: joined with the contexts, a frequent key can then be split
+    keys = written(
         every.groupBy("key")
         .agg(F.count("*").alias("m"), F.min("digest").alias("low"), F.max("digest").alias("high"))
         .where("m > 1")
-        .select("key", (F.col("low") != F.col("high")).alias("mixed"))
+        .select("key", (F.col("low") != F.col("high")).alias("mixed")),
+        "keys",
     )
-    path = scratch_path(spark, "repeats")
-    every.join(keys, "key").write.parquet(path)
-    repeats = spark.read.parquet(path)
-    path = scratch_path(spark, "distinct")
-    (
+    repeats = written(every.join(keys, "key"), "repeats")
+    distinct = written(
         repeats.groupBy("key", "digest", "mixed")
         .agg(F.count("*").alias("weight"), F.min(F.struct("_id", "_th", "start", "n")).alias("first"))
-        .select("key", "digest", "mixed", "weight", "first.*")
-        .write.parquet(path)
+        .select("key", "digest", "mixed", "weight", "first.*"),
+        "distinct",
     )
-    distinct = spark.read.parquet(path)
     size = distinct.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     large = distinct.where("mixed").groupBy("key").count().where(F.col("count") > split_contexts)
