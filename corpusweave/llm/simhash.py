@@ -180,10 +180,12 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     before = None
     for _ in range(most):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        # minima are set down, so that the join with them can split a hub
+        least = cut_lineage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut_lineage(large)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut_lineage(down.groupBy("a").agg(F.min("b").alias("m")))
         small = down.join(low, "a")
         edges = cut_lineage(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
