@@ -122,10 +122,11 @@ def quality_rules(
     columns of ``docs`` that have a result's name are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams", "score_sum", "kept"]
-    docs = docs.drop(*[c for c in added if c not in (id_col, text_col)])
     ratios = bucket_ratios(docs, trusted, id_col, text_col)
+    own = [c for c in docs.columns if c not in added]
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(text_col).alias("_text"))
     scored = (
-        base_counts(docs, text_col)
+        base_counts(rows, "_text")
         .withColumn("_codes", F.transform("_words", _word_code))
         .withColumn("_grams", _grams(F.col("_codes")))
         .withColumn("_ratios", ratios.scalar())
@@ -137,4 +138,4 @@ def quality_rules(
     # a filter on kept must not be moved below the arrays above, where each use would compute them again
     settled = F.col("_place") >= 0
     kept = ~F.col("base_failed") & (F.col("score_sum") >= F.col("n_grams") * limit) & settled
-    return scored.withColumn("kept", kept).select(*docs.columns, *added)
+    return scored.withColumn("kept", kept).select("_row.*", *added)

@@ -239,10 +239,12 @@ def drop_near_duplicates(
 
     Among rows with the same id (and, without an id, the same text) one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius).where("_first").select(F.col(id_col).alias("_id"), "_tie").distinct()
+    groups = simhash_groups(docs, id_col, text_col, shingle, radius).where("_first")
+    kept = groups.select(F.col(id_col).alias("_id"), "_tie").distinct()
     tie = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0))
-    kept = docs.withColumn("_own", tie).join(
-        groups, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own_id"), tie.alias("_own_tie"), F.xxhash64(text_col).alias("_hash")
     )
-    order = Window.partitionBy("_id", "_tie").orderBy(F.xxhash64(text_col))
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    joined = rows.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
+    order = Window.partitionBy("_id", "_tie").orderBy("_hash")
+    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")

@@ -269,22 +269,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows, spans = repeated_spans(docs, id_col, text_col, length)
     spans = spans.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "spans")
-    names = docs.columns
-    marked = docs.withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    joined = marked.join(spans, marked[id_col].eqNullSafe(spans._i) & (marked._th == spans._t), "left").select(*names, F.col("spans").alias("_spans"))
-    at = names.index(text_col)
+    own = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_th"), F.col(text_col).alias("_text")
+    )
+    joined = own.join(spans, own._id.eqNullSafe(spans._i) & (own._th == spans._t), "left").select("_row", "_text", "spans")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
-                if spans:
+            texts = batch.column(1).to_pylist()
+            for i, found in enumerate(batch.column(2).to_pylist()):
+                if found:
                     body = texts[i].encode()
-                    edges = [0, *(x for run in cover(spans) for x in run), len(body)]
+                    edges = [0, *(x for run in cover(found) for x in run), len(body)]
                     kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     texts[i] = kept.decode(errors="ignore")
-            columns = batch.columns[: len(names)]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_text"])
 
-    return joined.mapInArrow(cleaned, docs.schema)
+    done = joined.mapInArrow(cleaned, joined.drop("spans").schema)
+    return done.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
