@@ -11,6 +11,7 @@ Layout below a folder, both written and committed by Spark:
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from corpusweave.session import scratch_path, ship_package
 
 BLOCK_TOKENS = 1 << 19  # a block is closed when it holds this many
 END_ID = 0
+CACHED_UNITS = 1_500_000  # a worker empties its dictionary of encoded units when it holds this many
 # number of bytes of each of the four values that a control byte stands for
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -70,20 +72,31 @@ class UnitIds(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        code = "H" if self.kind == "<u2" else "I"
+        return [array(code, x.ids).tobytes() for x in found]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(s in t for s in self.special) for t in texts]
-        units = [bytepairs.UNIT.findall(t) if p else [t] for t, p in zip(texts, plain, strict=True)]
-        if len(self) >= bytepairs.CACHED_UNITS:
+        """One look-up for each unit; the units not seen before are encoded once for all texts. A text
+        with a special string in it goes to the library as a whole."""
+        if len(self) >= CACHED_UNITS:
             self.clear()
-        fresh = list({u for us, p in zip(units, plain, strict=True) if p for u in us if u not in self})
-        self.update(zip(fresh, self.encode(fresh), strict=True))
-        result = [b"".join(map(self.__getitem__, us)) if p else self.encode(us)[0] for us, p in zip(units, plain, strict=True)]
-        for unit in fresh:
-            if len(unit) > 64:
-                del self[unit]
-        return result
+        rows: list[list] = []
+        gaps: list[tuple[list, int, str]] = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                rows.append(self.encode([text]))
+                continue
+            units = bytepairs.UNIT.findall(text)
+            parts = list(map(self.get, units))
+            if None in parts:
+                gaps += [(parts, i, units[i]) for i, p in enumerate(parts) if p is None]
+            rows.append(parts)
+        fresh = list({unit for _, _, unit in gaps})
+        found = dict(zip(fresh, self.encode(fresh), strict=True))
+        for parts, i, unit in gaps:
+            parts[i] = found[unit]
+        self.update((u, x) for u, x in found.items() if len(u) <= 64)
+        return [b"".join(parts) for parts in rows]
 
 
 def write_token_files(
