@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 16_384
-THRESHOLD = -0.06  # nats per n-gram
+PRIOR = 1_048_576  # n-grams of the raw corpus that smooth the trusted counts
+THRESHOLD = -0.02  # nats per n-gram
 MIN_WORDS = 50
 _SPACE = "[\\x20\\x09-\\x0D]"
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -86,8 +87,10 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: ``ratios``, an array over buckets of the log-likelihood ratio trusted / raw in micro-nats.
 
-    ``trusted`` holds ids. Counts are taken over all documents, one is added to each bucket. Only
-    partial counts per bucket are shuffled; the result is as long as the bucket count.
+    ``trusted`` holds ids. Counts are taken over all documents; one is added to each bucket of the raw
+    counts, and the trusted counts are smoothed by PRIOR n-grams spread as in the raw corpus, so that a
+    small trusted set says little. Only partial counts per bucket are shuffled; the result is as long
+    as the bucket count.
     """
     # the trusted ids have no size bound, so they are merged with the documents and never broadcast
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
@@ -101,13 +104,14 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     )
     every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").select(
-        "bucket", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("target", F.lit(0)) + 1).alias("target")
+        "bucket", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")
     )
     table = full.agg(
         F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"),
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("rows"),
     )
-    ratio = "cast(round((ln(r.target / n_target) - ln(r.raw / n_raw)) * 1000000) as bigint)"
+    smooth = f"(r.target + {PRIOR} * (r.raw / n_raw)) / (n_target + {PRIOR})"
+    ratio = f"cast(round((ln({smooth}) - ln(r.raw / n_raw)) * {_SCALE}) as bigint)"
     return table.select(F.expr(f"transform(rows, r -> {ratio})").alias("ratios"))
 
 
@@ -118,7 +122,7 @@ def quality_rules(
 
     kept is false if base_failed, else whether the mean ratio of the document's n-grams reaches
     ``threshold`` nats. ``trusted`` holds the ids of trusted documents; with none of them all ratios
-    are near 0 and the base rules decide. Empty tables give no rows; null ids are scored like others;
+    are 0 and the base rules decide. Empty tables give no rows; null ids are scored like others;
     columns of ``docs`` that have a result's name are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams", "score_sum", "kept"]
