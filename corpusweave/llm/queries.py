@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and the SQL that checks those that SQL can express."""
+"""The registered queries of this subpackage, with the SQL that checks some of them (``ORACLES``)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusweave.llm.byte_bpe import encode_bytes
 from corpusweave.llm.html_extract import extract_text
 from corpusweave.llm.mixing import mix_sources
+from corpusweave.llm.oracles import ORACLES
 from corpusweave.llm.quality_classifier import fit_quality, held_out, score_quality
 from corpusweave.llm.quality_rules import quality_rules
 from corpusweave.llm.simhash import simhash_groups
@@ -23,8 +24,9 @@ from corpusweave.session import scratch_path
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
