@@ -16,6 +16,7 @@ from corpusweave.functions import text as tx
 from corpusweave.functions.vectors import to_dense, to_double, to_ml
 from corpusweave.operators.bounds import MAX_BROADCAST_CELLS, lookup_join
 from corpusweave.operators.tfidf import term_frequency
+from corpusweave.session import ship_package
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -45,6 +46,8 @@ def dense_encode(
 ) -> DataFrame:
     """Encode texts with a user's model, built once per Python worker and fed small batches."""
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
@@ -66,10 +69,21 @@ def precomputed_embeddings(
     vector_key: str = "vec_id",
     vector: str = "embedding",
     output: str = "vector",
+    missing: str = "keep",
 ) -> DataFrame:
-    """Attach ready-made vectors by id; both keys are unique, so the join cannot skew."""
+    """Attach ready-made vectors by id; both keys are unique, so the join cannot skew.
+
+    ``missing`` says what becomes of a document without a vector: ``keep`` it with null, ``drop`` it,
+    or raise an ``error`` when it is read.
+    """
+    if missing not in ("keep", "drop", "error"):
+        raise ValueError("missing must be 'keep', 'drop' or 'error'")
     ready = vectors.select(F.col(vector_key).alias(key), to_double(F.col(vector)).alias(output))
-    return docs.join(ready, key)
+    joined = docs.join(ready, key, "inner" if missing == "drop" else "left")
+    if missing == "error":
+        told = F.raise_error(F.concat(F.lit("no vector for document "), F.col(key).cast("string")))
+        joined = joined.withColumn(output, F.coalesce(output, told.cast("array<double>")))
+    return joined
 
 
 def fit_word2vec(

@@ -12,7 +12,7 @@ from corpusweave.functions.vectors import distance, to_dense, to_ml
 from corpusweave.operators.bounds import lookup_join, per_cluster_join
 from corpusweave.operators.tfidf import entries
 
-MEAN_DIGITS = 9  # means equal to this many digits count as tied
+TIE_DIGITS = 9  # totals whose logarithms agree to this many digits count as tied, at any size
 EXCERPT = 500
 
 
@@ -80,11 +80,13 @@ def top_keywords(
     its list. Ranking keeps at most k rows per cluster and task before it shuffles.
     """
     totals = weights.groupBy(cluster, term).agg(F.sum("weight").alias("total"))
-    means = totals.join(sizes.select(cluster, "size"), cluster).select(
-        cluster, term, F.round(F.col("total") / F.col("size"), MEAN_DIGITS).alias("mean_weight")
+    level = F.round(F.log("total"), TIE_DIGITS)
+    rank = F.row_number().over(Window.partitionBy(cluster).orderBy(level.desc(), term))
+    best = totals.where("total > 0").withColumn("rank", rank).where(F.col("rank") <= k)
+    # One size per cluster, so totals rank as means do; only the few kept rows are divided.
+    return best.join(sizes.select(cluster, "size"), cluster).select(
+        cluster, term, (F.col("total") / F.col("size")).alias("mean_weight"), "rank"
     )
-    rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("mean_weight"), term))
-    return means.where("mean_weight > 0").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def with_terms(ranked: DataFrame, vocabulary: DataFrame) -> DataFrame:

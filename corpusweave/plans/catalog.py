@@ -71,7 +71,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", tx.standard_preprocess(F.col("text")).alias("text"), F.col("source").alias("name")
     )
     labels = vectors(spark, sf_dir).select("doc_id", "cluster")
-    ready = dense.precomputed_embeddings(docs, table(spark, sf_dir, "embeddings"))
+    ready = dense.precomputed_embeddings(docs, table(spark, sf_dir, "embeddings"), missing="drop")
     return ready.join(labels, "doc_id")
 
 
@@ -161,7 +161,7 @@ def stage_cache(spark, sf_dir):
     """The second call reads what the first one wrote."""
     docs = documents(spark, sf_dir)
     folder = scratch_path(spark, "cache")
-    mark = store.fingerprint("clean", {"kind": "standard"}, store.content_identity(docs))
+    mark = store.stage_mark("clean", {"kind": "standard"}, store.content_identity(docs))
 
     def build() -> DataFrame:
         return docs.select("doc_id", tx.standard_preprocess(F.col("text")).alias("clean_text"))
@@ -262,6 +262,12 @@ def light_preprocess(spark, sf_dir):
     return _on_text(spark, sf_dir, cleaned, "clean_text")
 
 
+@query
+def light_preprocess_whole(spark, sf_dir):
+    cleaned = tx.light_preprocess(F.col("text"), lower=True, remove_punctuation=True, token_limit=-1)
+    return _on_text(spark, sf_dir, cleaned, "clean_text")
+
+
 @query
 def has_urls(spark, sf_dir):
     found = [
@@ -450,8 +456,8 @@ def dense_encode_hashing(spark, sf_dir):
 def precomputed_embeddings(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source")
     ready = dense.precomputed_embeddings(docs, table(spark, sf_dir, "embeddings"))
-    cells = ready.select("doc_id", "source", F.posexplode("vector").alias("idx", "value"))
-    return rounded(cells, "value")
+    cells = ready.select("doc_id", "source", F.posexplode_outer("vector").alias("idx", "value"))
+    return rounded(cells, "value").withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
 @query
@@ -531,6 +537,16 @@ def knn_graph(spark, sf_dir):
     return rounded(neighbours.knn_graph(vectors(spark, sf_dir), 15), "distance")
 
 
+@query
+def knn_graph_hashed(spark, sf_dir):
+    """How many exact neighbour edges there are, and whether hashing finds nine tenths of them."""
+    rows = vectors(spark, sf_dir)
+    exact = neighbours.knn_graph(rows, 15).select("src", "dst")
+    found = neighbours.knn_graph(rows, 15, method="hashed").select("src", "dst", F.lit(1).alias("hit"))
+    counts = exact.join(found, ["src", "dst"], "left").agg(F.count(F.lit(1)).alias("n_edges"), F.count("hit").alias("hits"))
+    return counts.select("n_edges", (F.col("hits") >= 0.9 * F.col("n_edges")).alias("recall_reached"))
+
+
 @query
 def fuzzy_graph(spark, sf_dir):
     graph = neighbours.knn_graph(vectors(spark, sf_dir), 15)

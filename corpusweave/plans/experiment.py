@@ -147,7 +147,7 @@ def _reduce(rows: DataFrame, config: ExperimentConfig, embedder: TfidfModel | No
     if config.reduction.method == "pca":
         return fit_pca(rows, size, whiten=extra.get("whiten", False)).transform(rows)
     layout = spectral_embedding(
-        rows, size, n_neighbors=extra.get("n_neighbors", 15), seed=seed
+        rows, size, n_neighbors=extra.get("n_neighbors", 15), seed=seed, method=extra.get("method", "exact")
     )
     return rows.join(layout, "doc_id")
 
@@ -167,16 +167,20 @@ def run_experiment(
     config: ExperimentConfig,
     *,
     make_encoder: Callable[[], Encoder] | None = None,
+    encoder_id: str | None = None,
     lemmas: Lemmas = None,
     output_dir: str | None = None,
 ) -> Experiment:
     """Clean, embed, reduce, cluster, score and explain ``docs (doc_id, text[, name])``.
 
     A document keeps one row through all stages, so no stage joins by ``doc_id`` but those whose
-    result is a table of its own (stored labels, graph layouts).
+    result is a table of its own (stored labels, graph layouts). ``encoder_id`` is the encoder's name
+    and version; it is part of a cache entry's mark, so encoders never share vectors.
     """
     if config.embedding_method != "tfidf" and make_encoder is None:
         raise ValueError("dense embedding needs make_encoder, a function that builds the encoder")
+    if config.embedding_method != "tfidf" and config.cache.enabled and not encoder_id:
+        raise ValueError("a cached dense embedding needs encoder_id, the encoder's name and version")
     spark = docs.sparkSession
     ship_package(spark)
     name = "name" if "name" in docs.columns else None
@@ -190,7 +194,7 @@ def run_experiment(
         # The cleaned text stands for the input, the lemmas and the cleaning settings alike.
         settings = config.settings("tfidf_embedding", "sentence_transformer_embedding")
         settings["method"] = config.embedding_method
-        lineage = store.fingerprint("embedded", settings, store.content_identity(cleaned))
+        lineage = store.stage_mark("embedded", settings, store.content_identity(cleaned), encoder_id or "")
     embedder = None
     if config.embedding_method == "tfidf":
         embedder = _fit_embedder(cleaned, config, f"{folder}/vocabulary_{lineage}" if cached else None)
@@ -202,7 +206,7 @@ def run_experiment(
     if cached:
         embedded = store.cached_stage(spark, folder, "embedded", lineage, lambda: fresh)
         settings = config.settings("reduction") | {"seed": config.seed}
-        mark = store.fingerprint("reduced", settings, lineage)
+        mark = store.stage_mark("reduced", settings, lineage)
         reduced = store.cached_stage(
             spark, folder, "reduced", mark, lambda: _reduce(embedded, config, embedder)
         )

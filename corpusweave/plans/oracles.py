@@ -155,10 +155,11 @@ def _keywords(by: str, labels: str) -> str:
     return f"""
     totals AS (SELECT {by}, term, sum(weight) AS total FROM w JOIN {labels} USING (doc_id) GROUP BY {by}, term),
     label_sizes AS (SELECT {by}, count(*) AS size FROM {labels} GROUP BY {by}),
-    scored AS (SELECT {by}, term, round(total / size, 9) AS mean_weight FROM totals JOIN label_sizes USING ({by})),
+    scored AS (SELECT {by}, term, total / size AS mean_weight, round(ln(total), 9) AS level
+               FROM totals JOIN label_sizes USING ({by}) WHERE total > 0),
     best AS (SELECT {by}, term, mean_weight,
-                    row_number() OVER (PARTITION BY {by} ORDER BY mean_weight DESC, term)::INTEGER AS rank
-             FROM scored WHERE mean_weight > 0 QUALIFY rank <= 15)"""
+                    row_number() OVER (PARTITION BY {by} ORDER BY level DESC, term)::INTEGER AS rank
+             FROM scored QUALIFY rank <= 15)"""
 
 
 INTERPRET = f"""WITH {LABELLED_VECTORS}, {LABELLED}, {NEAREST},
@@ -257,6 +258,7 @@ ORACLES: dict[str, str] = {
     "light_preprocess": _text(
         "array_to_string((" + _split(_collapse(f"translate(lower(coalesce(text, '')), {PUNCT}, '')")) + ")[1:50], ' ')"
     ),
+    "light_preprocess_whole": _text(_collapse(f"translate(lower(coalesce(text, '')), {PUNCT}, '')")),
     "has_urls": """SELECT 'documents' AS name, bool_or(coalesce(regexp_matches(text, 'https?://'), false)) AS has_urls
         FROM documents UNION ALL
         SELECT 'pages', bool_or(coalesce(regexp_matches(html, 'https?://'), false)) FROM pages""",
@@ -299,7 +301,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, array_to_string(({_split("coalesce(text, '')")})[1:256], ' ') AS t FROM documents)""",
     "precomputed_embeddings": f"""SELECT doc_id, source, idx, {_r('value')} AS value FROM
         (SELECT doc_id, source, unnest(range(len(embedding)))::INTEGER AS idx, unnest(embedding::DOUBLE[]) AS value
-         FROM documents JOIN embeddings ON doc_id = vec_id)""",
+         FROM documents JOIN embeddings ON doc_id = vec_id)
+        UNION ALL SELECT doc_id, source, -1, NULL FROM documents ANTI JOIN embeddings ON doc_id = vec_id""",
     "glove_docs": f"""WITH {_tf(PLAIN)},
         means AS (SELECT doc_id, sum(tf * sqrt(length(term))) / sum(tf) AS a, sum(tf * ln(df + 1.0)) / sum(tf) AS b,
                          sum(tf * ln(total_tf / df + 1.0)) / sum(tf) AS c FROM tf JOIN dfs USING (term) GROUP BY doc_id)
@@ -309,6 +312,7 @@ ORACLES: dict[str, str] = {
     "covariance": f"""WITH {VECTORS} SELECT a.idx AS i, b.idx AS j, {_r('covar_samp(a.value, b.value)')} AS cov
         FROM cells a JOIN cells b ON a.doc_id = b.doc_id AND a.idx <= b.idx GROUP BY a.idx, b.idx""",
     "sparse_total_variance": SPARSE_VARIANCE,
+    "knn_graph_hashed": f"WITH {VECTORS}, {KNN} SELECT count(*) AS n_edges, true AS recall_reached FROM knn",
     "knn_graph": f"WITH {VECTORS}, {KNN} SELECT src, dst, {_r('distance')} AS distance, rank FROM knn",
     "fuzzy_graph": FUZZY,
     "to_dense": f"""WITH {_tf(PLAIN)}, {_vocab(limit=50)}, {WEIGHTS}

@@ -83,11 +83,27 @@ def test_dense_experiment(themed, tmp_path):
         reduction={"method": "pca", "n_components": 6},
         clustering={"algorithm": "agglomerative", "n_clusters": 3},
     )
-    result = run_experiment(themed, dense, make_encoder=lambda: HashingEncoder(256))
+    result = run_experiment(themed, dense, make_encoder=lambda: HashingEncoder(256), encoder_id="hashing-256")
     assert result.summary.columns[-1] == "closest_sample_name"
     assert one_theme_each(result)
     with pytest.raises(ValueError):
         run_experiment(themed, dense)
+    with pytest.raises(ValueError):  # a cached run must say which encoder it uses
+        run_experiment(themed, dense, make_encoder=lambda: HashingEncoder(256))
+
+
+def test_encoders_never_share_a_cache_entry(themed, tmp_path):
+    dense = config(
+        tmp_path,
+        embedding_method="sentence_transformer",
+        reduction={"method": "pca", "n_components": 4},
+        clustering={"algorithm": "kmeans", "n_clusters": 3},
+    )
+    found = []
+    for width in (32, 64):
+        result = run_experiment(themed, dense, make_encoder=lambda w=width: HashingEncoder(w), encoder_id=f"hashing-{width}")
+        found.append(len(result.rows.first()["vector"]))
+    assert found == [32, 64]
 
 
 def test_cache_is_reused_and_never_shared(spark, themed, tmp_path):
@@ -132,10 +148,14 @@ def test_bad_settings_are_refused(bad):
         ExperimentConfig.from_dict({"name": "x", **bad})
 
 
-def test_unknown_section_key_is_refused_and_unknown_section_ignored():
+def test_unknown_settings_are_refused_and_idle_ones_warn():
     with pytest.raises(TypeError):
         ExperimentConfig.from_dict({"name": "x", "evaluation": {"compute": True}})
-    assert ExperimentConfig.from_dict({"name": "x", "notes": "y", "output_dir": "z"}).output_dir == "z"
+    with pytest.raises(ValueError):
+        ExperimentConfig.from_dict({"name": "x", "reductoin": {}})
+    assert ExperimentConfig.from_dict({"name": "x", "output_dir": "z"}).output_dir == "z"
+    with pytest.warns(UserWarning, match="min_dist"):
+        ExperimentConfig.from_dict({"name": "x", "reduction": {"method": "umap", "extra_params": {"min_dist": 0.1}}})
 
 
 def test_yaml(tmp_path):

@@ -228,7 +228,7 @@ def test_exact_neighbours(monkeypatch, blobs, points):
 
 def test_hashed_neighbours_find_most(monkeypatch, blobs, points):
     monkeypatch.setattr(neighbours, "RUN_ROWS", 40)
-    got = neighbours.knn_graph(blobs, 6, exact=False, passes=8).toPandas()
+    got = neighbours.knn_graph(blobs, 6, method="hashed", passes=8).toPandas()
     assert (got.groupby("src").size() == 5).all()
     true = {(i, int(j)) for i, row in enumerate(nearest_sets(points[1], 5)) for j in row}
     assert len(true & set(zip(got["src"], got["dst"]))) / len(true) > 0.8
@@ -237,8 +237,8 @@ def test_hashed_neighbours_find_most(monkeypatch, blobs, points):
 def test_copies_get_full_neighbour_lists(spark):
     rows = [(i, [1.0, 2.0] if i < 60 else [float(i), 0.0]) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id bigint, vector array<double>").repartition(4)
-    for exact in (True, False):
-        graph = neighbours.knn_graph(df, 5, exact=exact)
+    for method in neighbours.METHODS:
+        graph = neighbours.knn_graph(df, 5, method=method)
         assert graph.groupBy("src").count().where("count <> 4").count() == 0
         assert graph.where("src < 60 AND distance > 0").count() == 0
 
@@ -268,12 +268,27 @@ def test_layout_of_a_ring_is_a_circle(spark):
     n = 24
     pairs = [(i, (i + 1) % n) for i in range(n)]
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src bigint, dst bigint, weight double")
-    rows = neighbours.spectral_layout(edges, 2, n_iter=30).orderBy("id").collect()
+    rows = neighbours.spectral_layout(edges, 2).orderBy("id").collect()
     x = np.array([r["vector"] for r in rows])
     radius = np.linalg.norm(x, axis=1)
     assert radius.std() / radius.mean() < 1e-3
 
 
+def test_layout_of_a_path_converges(spark):
+    n = 80
+    pairs = [(i, i + 1) for i in range(n - 1)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src bigint, dst bigint, weight double")
+    rows = neighbours.spectral_layout(edges, 2, oversampling=3).orderBy("id").collect()
+    assert rows[0]["residual"] <= 1e-5
+    matrix = np.zeros((n, n))
+    for a, b in pairs:
+        matrix[a, b] = matrix[b, a] = 1
+    degree = matrix.sum(axis=1)
+    _, vectors = np.linalg.eigh(matrix / np.sqrt(np.outer(degree, degree)))
+    found = np.linalg.qr(np.array([r["vector"] for r in rows]))[0]
+    assert np.linalg.svd(found.T @ vectors[:, [-2, -3]])[1].min() > 0.999
+
+
 # --- dense vectors ------------------------------------------------------------------------------
 
 
