@@ -15,6 +15,7 @@ from corpusweave.operators.blocks import blocks_for, compare_blocks, distances
 from corpusweave.operators.bounds import per_cluster_join
 from corpusweave.operators.interpret import centroids
 from corpusweave.operators.sampling import sample_n
+from corpusweave.session import cut_lineage
 
 NEAR_ZERO = 1e-8
 
@@ -130,7 +131,7 @@ def davies_bouldin(
 ) -> DataFrame:
     """Mean over clusters of the worst ratio of within-cluster spread to centroid distance."""
     rows = df.select(F.col(key).alias("id"), F.col(cluster).alias("cluster"), F.col(vector).alias("vector"))
-    centers = centroids(rows, "vector", "cluster").persist()
+    centers = cut_lineage(centroids(rows, "vector", "cluster"))
     width = centers.agg(F.max(F.size("centroid"))).first()[0] or 1
     spread = (
         per_cluster_join(rows, centers, "cluster", width, F.col("id"))

@@ -11,6 +11,7 @@ from corpusweave.functions import text as tx
 from corpusweave.functions.vectors import distance, to_dense, to_ml
 from corpusweave.operators.bounds import lookup_join, per_cluster_join
 from corpusweave.operators.tfidf import entries
+from corpusweave.session import cut_lineage
 
 TIE_DIGITS = 9  # totals whose logarithms agree to this many digits count as tied, at any size
 EXCERPT = 500
@@ -34,7 +35,7 @@ def distance_to_own_centroid(
     df: DataFrame, vector: str = "vector", cluster: str = "cluster", key: str = "doc_id"
 ) -> DataFrame:
     """``(doc_id, cluster, distance)``."""
-    centers = centroids(df, vector, cluster).persist()
+    centers = cut_lineage(centroids(df, vector, cluster))
     width = centers.agg(F.max(F.size("centroid"))).first()[0] or 1
     rows = per_cluster_join(df.select(key, cluster, vector), centers, cluster, width, F.col(key))
     return rows.select(key, cluster, distance(F.col(vector), F.col("centroid")).alias("distance"))
@@ -60,9 +61,9 @@ def excerpts(
     shown = [F.substring(text, 1, EXCERPT).alias("closest_sample_text")]
     if name is not None:
         shown.append(F.col(name).alias("closest_sample_name"))
-    # `picked` has one row per cluster. It is kept, as finding it takes a pass over all vectors;
+    # `picked` has one row per cluster. It is set down, as finding it takes a pass over all vectors;
     # documents are filtered by it before any text moves.
-    picked = picked.persist()
+    picked = cut_lineage(picked)
     found = lookup_join(docs.select(key, *shown), picked.select(key), key, F.col(key))
     return picked.join(found, key, "left")
 

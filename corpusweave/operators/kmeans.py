@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions.vectors import matrix_of, squared_distance, to_ml
 from corpusweave.operators.bounds import per_cluster_join
 from corpusweave.operators.interpret import centroids
+from corpusweave.session import cut_lineage
 
 PARALLEL_RESTARTS = 8
 
@@ -124,7 +125,7 @@ def inertia(
     key: str = "doc_id",
 ) -> DataFrame:
     """Sum of squared distances to the own centre (by default the mean of the label)."""
-    centers = (centroids(df, vector, cluster) if centers is None else centers).persist()
+    centers = cut_lineage(centroids(df, vector, cluster) if centers is None else centers)
     width = centers.agg(F.max(F.size("centroid"))).first()[0] or 1
     rows = per_cluster_join(df.select(key, cluster, vector), centers, cluster, width, F.col(key))
     return rows.agg(F.sum(squared_distance(F.col(vector), F.col("centroid"))).alias("inertia"))
