@@ -197,6 +197,33 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def own_tie(id_col: str, text_col: str) -> Column:
+    """0, or the text's hash where the id is null."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0))
+
+
+def first_rows(rows: DataFrame, id_col: str) -> DataFrame:
+    """(fp, first): the smallest (id, tie) of each fingerprint, nulls last."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_tie").alias("t")))
+    return rows.groupBy("fp").agg(first.alias("first"))
+
+
+def standing_rows(rows: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Id, ``_tie``, fp, component_id and ``_first`` of every row, from the components of its fingerprints."""
+    known = prints.join(roots, prints.fp == roots.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    least = known.groupBy("root").agg(F.min("first").alias("least"))
+    named = known.join(least, "root").select("fp", "least")
+    return rows.join(named, "fp").select(
+        id_col,
+        "_tie",
+        "fp",
+        F.col("least.i").alias("component_id"),
+        (F.col(id_col).eqNullSafe(F.col("least.i")) & (F.col("_tie") == F.col("least.t"))).alias("_first"),
+    )
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
@@ -210,26 +237,28 @@ def simhash_groups(
     and are grouped before any comparison; the empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    tie = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0)).alias("_tie")
     path = scratch_path(spark, "fingerprints")
-    keyed = docs.select(id_col, tie, F.col(text_col).alias("_body"))
+    keyed = docs.select(id_col, own_tie(id_col, text_col).alias("_tie"), F.col(text_col).alias("_body"))
     add_fingerprints(keyed, [id_col, "_tie"], "_body", shingle).write.parquet(path)
     rows = spark.read.parquet(path)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_tie").alias("t")))
-    prints = rows.groupBy("fp").agg(first.alias("first"))
+    prints = first_rows(rows, id_col)
     roots = components(near_edges(prints.select("fp"), radius))
-    known = prints.join(roots, prints.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = known.groupBy("root").agg(F.min("first").alias("least"))
-    named = known.join(least, "root").select("fp", "least")
-    return rows.join(named, "fp").select(
-        id_col,
-        "_tie",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.col("least.i").alias("component_id"),
-        (F.col(id_col).eqNullSafe(F.col("least.i")) & (F.col("_tie") == F.col("least.t"))).alias("_first"),
+    printed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return standing_rows(rows, prints, roots, id_col).select(id_col, "_tie", printed, "component_id", "_first")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each (id, tie) that is ``_first`` in ``groups``, with all its columns."""
+    kept = groups.where("_first").select(F.col(id_col).alias("_id"), "_tie").distinct()
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col(id_col).alias("_own_id"),
+        own_tie(id_col, text_col).alias("_own_tie"),
+        F.xxhash64(text_col).alias("_hash"),
     )
+    joined = rows.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
+    order = Window.partitionBy("_id", "_tie").orderBy("_hash")
+    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
 
 
 def drop_near_duplicates(
@@ -239,12 +268,4 @@ def drop_near_duplicates(
 
     Among rows with the same id (and, without an id, the same text) one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius).where("_first")
-    kept = groups.select(F.col(id_col).alias("_id"), "_tie").distinct()
-    tie = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0))
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own_id"), tie.alias("_own_tie"), F.xxhash64(text_col).alias("_hash")
-    )
-    joined = rows.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
-    order = Window.partitionBy("_id", "_tie").orderBy("_hash")
-    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
+    return one_of_each(docs, simhash_groups(docs, id_col, text_col, shingle, radius), id_col, text_col)
