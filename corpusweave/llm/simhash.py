@@ -197,9 +197,9 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def own_tie(id_col: str, text_col: str) -> Column:
-    """0, or the text's hash where the id is null."""
-    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0))
+def own_tie(text_col: str) -> Column:
+    """The text's hash: (id, tie) names a row, apart from exact copies of it."""
+    return F.xxhash64(text_col)
 
 
 def first_rows(rows: DataFrame, id_col: str) -> DataFrame:
@@ -232,13 +232,13 @@ def simhash_groups(
     Words are lower-cased (A-Z) runs of non-space; a text with fewer than ``shingle`` words is one
     shingle; null and empty texts have fingerprint zero. Fingerprints link at ``radius`` or fewer
     differing bits, and component_id is the smallest id reachable over links (null if all ids of the
-    component are null). ``_tie`` is 0, or the text's hash where the id is null; ``_first`` marks the
+    component are null). ``_tie`` is the text's hash; ``_first`` marks the
     rows that stand for their component: its smallest (id, tie), nulls last. Copies share a fingerprint
     and are grouped before any comparison; the empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
-    keyed = docs.select(id_col, own_tie(id_col, text_col).alias("_tie"), F.col(text_col).alias("_body"))
+    keyed = docs.select(id_col, own_tie(text_col).alias("_tie"), F.col(text_col).alias("_body"))
     add_fingerprints(keyed, [id_col, "_tie"], "_body", shingle).write.parquet(path)
     rows = spark.read.parquet(path)
     prints = first_rows(rows, id_col)
@@ -253,11 +253,10 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str)
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"),
         F.col(id_col).alias("_own_id"),
-        own_tie(id_col, text_col).alias("_own_tie"),
-        F.xxhash64(text_col).alias("_hash"),
+        own_tie(text_col).alias("_own_tie"),
     )
     joined = rows.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
-    order = Window.partitionBy("_id", "_tie").orderBy("_hash")
+    order = Window.partitionBy("_id", "_tie").orderBy("_tie")
     return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
 
 
@@ -266,6 +265,6 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` that stand for their component, one for each, with all their columns.
 
-    Among rows with the same id (and, without an id, the same text) one stays.
+    Among rows with the same id and text one stays.
     """
     return one_of_each(docs, simhash_groups(docs, id_col, text_col, shingle, radius), id_col, text_col)

@@ -78,6 +78,13 @@ def test_one_document_of_each_group_stays(odd_docs):
     assert {1, 5, 4} <= {r["doc_id"] for r in rows} and not {2, 3, 6, 14} & {r["doc_id"] for r in rows}
 
 
+def test_different_texts_under_one_id_all_stay(spark):
+    own = [" ".join(words(seed, 80)) for seed in (21, 22, 23)]
+    rows = [(1, own[0]), (1, own[1]), (1, own[1]), (2, own[2]), (2, own[0])]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], rows[3]])
+
+
 @pytest.mark.parametrize("radius", [0, 2, 4])
 def test_split_shards_lose_no_link(spark, radius):
     rng = np.random.default_rng(radius)
