@@ -439,10 +439,19 @@ def dense_encode(spark, sf_dir):
     return encoded.select("doc_id", F.posexplode("vector").alias("idx", "value"))
 
 
+@query
+def dense_encode_whole(spark, sf_dir):
+    docs = spread_documents(spark, sf_dir).select(
+        "doc_id", tx.light_preprocess(F.col("text"), token_limit=-1).alias("text")
+    )
+    encoded = dense.dense_encode(docs, _TextMeasures)
+    return encoded.select("doc_id", F.posexplode("vector").alias("idx", "value"))
+
+
 @query
 def dense_encode_hashing(spark, sf_dir):
     docs = spread_documents(spark, sf_dir).select(
-        "doc_id", tx.light_preprocess(F.col("text"), token_limit=256).alias("text")
+        "doc_id", tx.light_preprocess(F.col("text"), token_limit=-1).alias("text")
     )
     encoded = dense.dense_encode(docs, lambda: dense.HashingEncoder(64))
     return encoded.select(

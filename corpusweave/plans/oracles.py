@@ -299,6 +299,9 @@ ORACLES: dict[str, str] = {
     "dense_encode": f"""SELECT doc_id, unnest([0, 1, 2]) AS idx,
         unnest([length(t), length(t) - length(replace(t, ' ', '')) + 1, length(t) - length(replace(t, 'e', ''))])::DOUBLE AS value
         FROM (SELECT doc_id, array_to_string(({_split("coalesce(text, '')")})[1:256], ' ') AS t FROM documents)""",
+    "dense_encode_whole": """SELECT doc_id, unnest([0, 1, 2]) AS idx,
+        unnest([length(t), length(t) - length(replace(t, ' ', '')) + 1, length(t) - length(replace(t, 'e', ''))])::DOUBLE AS value
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "precomputed_embeddings": f"""SELECT doc_id, source, idx, {_r('value')} AS value FROM
         (SELECT doc_id, source, unnest(range(len(embedding)))::INTEGER AS idx, unnest(embedding::DOUBLE[]) AS value
          FROM documents JOIN embeddings ON doc_id = vec_id)
