@@ -55,4 +55,36 @@ scored AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM scored QUALIFY rank <= {vector_search.TOP}"""
 
-ORACLES = {"op1_quality_rules": QUALITY_RULES, "op2_vector_search": VECTOR_SEARCH}
+# crc32 of the digits of an id, bit by bit
+_CRC32 = """xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda c, b:
+    list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295)"""
+
+CONVERSATION_TRIE = f"""
+WITH own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+        ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+skips AS (SELECT *, {_CRC32} % 4 AS h FROM own),
+built AS (
+    SELECT s.conv_id, list_concat(coalesce(b.turns, [])[1:s.h], s.turns[s.h + 1:]) AS turns
+    FROM skips s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 20),
+paths AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM built),
+members AS (SELECT conv_id, depth, turns[1:depth] AS path, len(turns) = depth AS ends FROM paths),
+nodes AS (
+    SELECT path, depth, min(conv_id) AS node, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+        (count(*) - 1) * coalesce(len(regexp_extract_all(path[depth].text, '{_WORD}')), 0) AS saved
+    FROM members GROUP BY path, depth),
+linked AS (
+    SELECT n.*, p.node AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]),
+children AS (SELECT parent_conv_id AS node, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY 1, 2),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (node, depth)),
+above AS (SELECT path[1:d] AS path, d AS depth, n_children = 0 AS leaf, saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted)),
+sums AS (SELECT path, depth, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY path, depth)
+SELECT node AS conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM counted JOIN sums USING (path, depth)"""
+
+ORACLES = {
+    "op1_quality_rules": QUALITY_RULES,
+    "op2_vector_search": VECTOR_SEARCH,
+    "op11_conversation_trie": CONVERSATION_TRIE,
+}
