@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -75,6 +76,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, runs without ASCII space (nulls have none), and where each text's begin."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    filled = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # a text may start or end with space
+    return flat.filter(pa.array(filled, pa.bool_())), np.r_[0, np.cumsum(filled)][offsets - offsets[0]]
+
+
 def slices(offsets: np.ndarray, limit: int):
     """Row ranges (first, last) whose bytes stay below ``limit``, one row at least each."""
     first, rows = 0, len(offsets) - 1

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.bytehash import mix, powers, slices, sliding_min, span_hashes
+from corpusweave.llm.bytehash import mix, powers, slices, sliding_min, span_hashes, split_words
 from corpusweave.session import ship_package
 
 LEAST_WORDS = 6  # length of a reported run
@@ -34,12 +34,8 @@ _NONE = np.iinfo(np.uint64).max
 
 
 def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words of all texts (runs without ASCII space), an equal number for equal words, and offsets."""
-    lists = pc.ascii_split_whitespace(texts.fill_null(""))
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    filled = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # a text may start or end with space
-    offsets = np.r_[0, np.cumsum(filled)][offsets - offsets[0]]
-    words = flat.filter(pa.array(filled))
+    """The words of all texts, an equal number for equal words, and where each text's begin."""
+    words, offsets = split_words(texts)
     return words, pc.dictionary_encode(words).indices.to_numpy().astype(np.int64), offsets
 
 

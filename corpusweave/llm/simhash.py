@@ -213,7 +213,8 @@ def standing_rows(rows: DataFrame, prints: DataFrame, roots: DataFrame, id_col:
     known = prints.join(roots, prints.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = known.groupBy("root").agg(F.min("first").alias("least"))
+    # set down, so that the join with it can split the root of a large group
+    least = cut_lineage(known.groupBy("root").agg(F.min("first").alias("least")))
     named = known.join(least, "root").select("fp", "least")
     return rows.join(named, "fp").select(
         id_col,

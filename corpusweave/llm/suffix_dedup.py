@@ -11,21 +11,28 @@ one anchor hash meet in a shard, or in all pairs of shards if the hash is too fr
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import suffix_arrays
-from corpusweave.llm.bytehash import mix, powers, prefix_sums, slices, sliding_min, span_hashes, text_bytes
+from corpusweave.llm.bytehash import mix, powers, prefix_sums, slices, sliding_min, span_hashes, split_words, text_bytes
 from corpusweave.session import scratch_path, ship_package
 
 LENGTH = 400  # bytes
 ANCHOR_BYTES = 200
+PASSAGE_WORDS = 50  # words of a repeated passage where whole words are cut out
 SHARD_BYTES = 1 << 20  # of contexts in one suffix array
 SPLIT_CONTEXTS = 4_096  # contexts of one anchor hash beyond which they are split into several shards
+MAX_BROADCAST_ROWS = 1_000_000  # of narrow rows
+_WORD_BYTES = 4
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SLICE = 1 << 21
 _PLACE = np.uint64((1 << 32) - 1)
 
@@ -132,20 +139,39 @@ def _shard_runs(group: pa.Table, length: int) -> pa.Table:
     return table.filter(pa.array([len(r) > 0 for r in runs], pa.bool_()))
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every document as (_id, _th, _text), _th a hash of the text, a null text empty."""
+    text = F.coalesce(text_col, F.lit(""))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+
+
+def coded_words(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`keyed_texts` with the texts as their words, each a code of four bytes: a string
+    of 4 n bytes that begins at a word is then n words. Words are runs without ASCII space."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, offsets = split_words(batch.column(2))
+            found = pc.dictionary_encode(words)
+            names = np.array([xxhash.xxh32_intdigest(w) for w in found.dictionary.to_pylist()], "<u4")
+            data = names[found.indices.to_numpy()].tobytes() if len(words) else b""
+            ends = (offsets * _WORD_BYTES).tolist()
+            parts = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["_id", "_th", "_text"])
+
+    return rows.mapInArrow(coded, f"_id {rows.schema['_id'].dataType.simpleString()}, _th long, _text binary")
+
+
 def repeated_spans(
-    docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, anchor: int = ANCHOR_BYTES,
-    shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): every document as (_id, _th, _text), and for each (_id, _th) with repeats ``spans``,
-    a list of (first, end) byte ranges covered by repeated strings.
+    rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS
+) -> DataFrame:
+    """(_id, _th, spans) for ``rows`` (_id, _th, _text) that have repeats: a list of (first, end) byte
+    ranges, each a run of repeated strings.
 
-    _th is a hash of the text, so rows with equal ids stay apart and rows equal in both share spans.
+    Rows with equal ids stay apart by _th, and rows equal in both share spans.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     ship_package(spark)
-    rows = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_th"), F.coalesce(text_col, F.lit("")).alias("_text")
-    )
     kind = rows.schema["_id"].dataType.simpleString()
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +211,9 @@ def repeated_spans(
     )
     size = distinct.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    large = distinct.where("mixed").groupBy("key").count().where(F.col("count") > split_contexts)
+    large = written(distinct.where("mixed").groupBy("key").count().where(F.col("count") > split_contexts), "frequent")
+    if large.count() <= MAX_BROADCAST_ROWS:  # at most one of ``split_contexts`` distinct contexts
+        large = F.broadcast(large)
     parts = F.coalesce(F.ceil(F.col("count") / split_contexts), F.lit(1)).cast("int")
     home = F.pmod(F.when(F.col("mixed"), F.xxhash64("key")).otherwise(F.xxhash64("_id", "_th")), F.lit(shards))
     laid = (
@@ -210,7 +238,7 @@ def repeated_spans(
         .groupBy("_id", "_th")
         .agg(F.collect_set("span").alias("spans"))
     )
-    return rows, spans
+    return spans
 
 
 def cover(spans: list[dict]) -> list[tuple[int, int]]:
@@ -228,7 +256,8 @@ def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False,
     shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS, anchor: int = ANCHOR_BYTES,
 ) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans and ``kept`` (binary, the bytes left).
+    """One row per document: id, n_bytes, n_removed, n_spans, ``kept`` (binary, the bytes left) and
+    ``text`` (the same as a string, without characters that a cut splits).
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else in the input, in the
     same document or another (the first occurrence goes as well). Strings never cross documents. Null
@@ -236,7 +265,8 @@ def remove_repeats(
     other's texts and so lose them; null ids are kept; other columns are not read. With ``digest`` the
     kept bytes are replaced in the task by kept_sha256.
     """
-    rows, spans = repeated_spans(docs, id_col, text_col, length, anchor, shard_bytes, split_contexts)
+    rows = keyed_texts(docs, id_col, text_col)
+    spans = repeated_spans(rows, length, anchor, shard_bytes, split_contexts)
     spans = spans.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "spans")
     joined = rows.join(spans, rows._id.eqNullSafe(spans._i) & (rows._th == spans._t), "left").select(F.col("_id").alias(id_col), "_text", "spans")
     last, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
@@ -244,45 +274,58 @@ def remove_repeats(
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            found: list[list] = [[], [], [], []]
+            found: list[list] = [[], [], [], [], []]
             for i, spans in enumerate(batch.column(2)):
                 body = data[offsets[i] : offsets[i + 1]].tobytes()
                 runs = cover(spans.as_py() or [])
                 edges = [0, *(x for run in runs for x in run), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 for column, value in zip(
-                    found, (len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept), strict=True
+                    found,
+                    (len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept, kept.decode(errors="ignore")),
+                    strict=True,
                 ):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.string()]
             columns = [pa.array(c, t) for c, t in zip(found, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_bytes", "n_removed", "n_spans", last])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_bytes", "n_removed", "n_spans", last, "text"])
 
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, {last} {kind}"
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, {last} {kind}, text string"
     return joined.mapInArrow(cleaned, schema)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated strings cut out of ``text_col``; all columns and rows stay.
+def drop_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS, shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS
+) -> DataFrame:
+    """``docs`` without the passages of ``words`` or more words that occur more than once; all rows and columns stay.
 
-    A character that a cut splits is dropped, so the text stays valid UTF-8; a null text stays null.
+    A word goes if a sequence of ``words`` words over it also starts anywhere else in the input, in the
+    same document or another, whatever white space parts the words; so do the spaces up to the next kept
+    word. Both occurrences go, as judged on the input. The suffix arrays are those of the texts written
+    as four bytes for each word. A null text stays null, an empty one empty; shorter texts are whole;
+    repeated rows lose their texts to each other; columns of any name are kept.
     """
-    rows, spans = repeated_spans(docs, id_col, text_col, length)
+    coded = coded_words(keyed_texts(docs, id_col, text_col))
+    spans = repeated_spans(coded, words * _WORD_BYTES, words * _WORD_BYTES // 2, shard_bytes, split_contexts)
     spans = spans.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "spans")
     own = docs.select(
         F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_th"), F.col(text_col).alias("_text")
     )
     joined = own.join(spans, own._id.eqNullSafe(spans._i) & (own._th == spans._t), "left").select("_row", "_text", "spans")
 
+    def whole_words(found: list[dict]) -> list[dict]:
+        # a string may take in bytes of a neighbouring word that happen to be alike
+        return [{"first": -(-s["first"] // _WORD_BYTES), "end": s["end"] // _WORD_BYTES} for s in found]
+
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, found in enumerate(batch.column(2).to_pylist()):
                 if found:
                     body = texts[i].encode()
-                    edges = [0, *(x for run in cover(found) for x in run), len(body)]
-                    kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    texts[i] = kept.decode(errors="ignore")
+                    starts = [m.start() for m in _WORD.finditer(body)] + [len(body)]
+                    edges = [0, *(starts[x] for run in cover(whole_words(found)) for x in run), len(body)]
+                    texts[i] = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_text"])
 
     done = joined.mapInArrow(cleaned, joined.drop("spans").schema)

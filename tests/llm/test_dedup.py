@@ -162,12 +162,46 @@ def test_repeats_of_odd_texts(odd_docs, settings_):
     assert got == sorted((r["doc_id"] or -1, *w) for r, w in zip(source, want, strict=True))
 
 
-def test_repeats_are_cut_out_of_whole_rows(odd_docs):
-    rows = drop_repeats(odd_docs)
-    assert rows.columns == odd_docs.columns and rows.count() == odd_docs.count()
-    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
-    assert texts[1] is None and texts[2] == "" and texts[11] == "" and texts[12] == "x" * 399
-    assert texts[9].endswith("end") and texts[13] == next(r["text"] for r in odd_docs.collect() if r["doc_id"] == 13)
+def test_kept_bytes_are_given_as_text(odd_docs):
+    rows = remove_repeats(odd_docs).collect()
+    assert all(r.text == bytes(r.kept).decode(errors="ignore") for r in rows) and any(r.n_removed for r in rows)
+
+
+def kept_words(texts, length):
+    """The words of each text that no repeated run of ``length`` words covers."""
+    own = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count = Counter(tuple(w[i : i + length]) for w in own for i in range(len(w) - length + 1))
+    for w in own:
+        gone = {i + k for i in range(len(w) - length + 1) if count[tuple(w[i : i + length])] > 1 for k in range(length)}
+        yield [x for i, x in enumerate(w) if i not in gone]
+
+
+@pytest.mark.parametrize("settings_", [{}, {"words": 7, "split_contexts": 2, "shard_bytes": 2_000}])
+def test_passages_are_cut_out_of_whole_rows(odd_docs, settings_):
+    rows = drop_repeats(odd_docs, **settings_)
+    assert rows.columns == odd_docs.columns
+    source = odd_docs.collect()
+    want = [(r["doc_id"] or -1, k) for r, k in zip(source, kept_words([r["text"] for r in source], settings_.get("words", 50)), strict=True)]
+    got = rows.collect()
+    assert sorted((r["doc_id"] or -1, (r["text"] or "").split()) for r in got) == sorted(want)
+    texts = {r["doc_id"]: r["text"] for r in got}
+    assert texts[1] is None and texts[2] == "" and texts[12] == "x" * 399
+    assert texts[13] == next(r["text"] for r in source if r["doc_id"] == 13)
+
+
+def test_short_words_and_other_spaces_make_passages_too(spark):
+    shared = [f"{a}{b}" for a in "abcdefg" for b in "uvwxyz"] + list("stopwhen")  # 50 words and more, under 200 bytes
+    rows = [(1, "one two " + " ".join(shared) + " end"), (2, "\n".join(shared) + "\tlast words"), (3, " ".join(shared[:49])), (4, "all of its own")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert len(shared) >= 50 > 49 and {r.doc_id: r.text for r in drop_repeats(frame).collect()} == {1: "one two end", 2: "last words", 3: rows[2][1], 4: rows[3][1]}
+
+
+def test_no_passage_of_another_document_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    source = docs.collect()
+    want = dict(zip([r.doc_id for r in source], kept_words([r.text for r in source], 50), strict=True))
+    assert sum(len(k) < len((r.text or "").split()) for r, k in zip(source, want.values(), strict=True)) > 5
+    assert {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in drop_repeats(docs).collect()} == want
 
 
 def test_cover_joins_touching_ranges():
