@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from corpusweave.llm.byte_bpe import encode_bytes
 from corpusweave.llm.mixing import repeat_to_weights
 from corpusweave.llm.quality_rules import quality_rules
-from corpusweave.llm.similar import drop_similar
+from corpusweave.llm.simhash import drop_near_duplicates
 from corpusweave.llm.suffix_dedup import drop_repeats
-from corpusweave.session import scratch_path
+from corpusweave.session import delete_scratch, scratch_path, scratch_scope
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +22,12 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a 5-word Jaccard similarity of 0.8 or more: the one with the smallest id."""
-    return drop_similar(docs)
+    """One document of each component of 4-word fingerprints that differ in 4 bits or fewer: the one with the smallest id."""
+    return drop_near_duplicates(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur more than once; n_chars follows the text."""
+    """Documents without the passages of 50 or more words that occur more than once; n_chars follows the text."""
     return drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -37,13 +37,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their decoding, as counts and digests."""
+    """Token ids of every document and copy and their decoding, as counts and digests: doc_id, n_tokens,
+    ids_sha256, decoded_sha256. A null text has no tokens."""
     return encode_bytes(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
 STAGES = [
     ("quality rules", filter_stage),
-    ("near-dedup by 5-word similarity", near_duplicate_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("suffix-array dedup", repeat_stage),
     ("mixing sources to target weights", mixing_stage),
     ("byte-level BPE encoding and decoding", encode_stage),
@@ -52,10 +53,19 @@ ORACLE_SQL = None  # fingerprints, suffix arrays, tilts and merges have no SQL;
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents, each written as Parquet and read again as the next one's input.
+
+    One row per kept document and copy: doc_id, n_tokens, ids_sha256, decoded_sha256. What a stage set
+    down is deleted when its output is written, and that output when the next one is; the last stays.
+    Each stage's operator says how it takes nulls, empty texts, ties and repeated rows; an empty table
+    gives an empty result.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for place, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"stage-{place}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            delete_scratch(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs

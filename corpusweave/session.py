@@ -6,10 +6,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def local_session(cores: int | str = 8, app: str = "corpusweave") -> SparkSession:
@@ -40,7 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _scratch.append(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a path of :func:`scratch_path`, in whatever file system it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """On leaving, delete the scratch tables made inside; what reads them must have been written by then."""
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        for path in [p for p in _scratch if p not in before]:
+            delete_scratch(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
