@@ -1,86 +1,29 @@
-"""Bottom-up merging at scale: many small K-Means groups first, then merges of their summaries."""
+"""Bottom-up clustering: exact merging of all rows, or of the K-Means groups that a caller asks for."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.operators.interpret import centroids
 from corpusweave.operators.kmeans import fit_kmeans
+from corpusweave.operators.merging import LINKAGES, METRICS, REST, check_linkage, gaps, merge_matrix, merge_rounds, ward_costs
+from corpusweave.operators.numbering import number_rows
+from corpusweave.session import cut_lineage
 
-LINKAGES = ("ward", "complete", "average", "single")
-METRICS = ("euclidean", "l2", "manhattan", "l1", "cosine")
-MAX_GROUPS = 2_000  # summaries merged in one place; rows beyond are grouped by K-Means first
+__all__ = ["LINKAGES", "METRICS", "AgglomerativeFit", "cut", "fit_agglomerative", "merge_summaries", "summarise"]
 
-_MERGES = "step int, left int, right int, height double, size bigint"
 
-
-def _pairwise(points: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        length = np.linalg.norm(points, axis=1, keepdims=True)
-        unit = np.divide(points, length, out=np.zeros_like(points), where=length > 0)
-        return np.maximum(1.0 - unit @ unit.T, 0.0)
-    total = np.zeros((len(points), len(points)))
-    for column in points.T:
-        gap = np.abs(column[:, None] - column[None, :])
-        total += gap if metric in ("manhattan", "l1") else np.square(gap)
-    return total if metric in ("manhattan", "l1") else np.sqrt(total)
-
-
-def merge_summaries(
-    weights: np.ndarray, centers: np.ndarray, linkage: str = "ward", metric: str = "euclidean"
-) -> np.ndarray:
-    """Merge weighted centroids until one is left: rows of ``(left, right, height, weight)``.
-
-    Inputs are numbered 0..m-1 and the cluster made in step s gets number m + s. Ward heights are
-    exact for weighted centroids; average, complete and single linkage see each summary as a point.
-    """
-    if linkage not in LINKAGES or metric not in METRICS:
-        raise ValueError(f"linkage must be one of {LINKAGES} and metric one of {METRICS}")
-    if linkage == "ward" and metric not in ("euclidean", "l2"):
-        raise ValueError("ward linkage needs the euclidean metric")
-    m = len(weights)
-    gap = _pairwise(np.asarray(centers, dtype=float), metric)
-    weight = np.asarray(weights, dtype=float).copy()
-    if linkage == "ward":
-        gap = np.square(gap) * 2.0 * np.outer(weight, weight) / np.add.outer(weight, weight)
-    np.fill_diagonal(gap, np.inf)
-    number = np.arange(m)
-    nearest = gap.argmin(axis=1) if m > 1 else np.zeros(m, dtype=int)
-    closest = gap[np.arange(m), nearest]
-    merges = np.empty((max(m - 1, 0), 4))
-    for step in range(m - 1):
-        i = int(closest.argmin())
-        j = int(nearest[i])
-        height = gap[i, j]
-        wi, wj = weight[i], weight[j]
-        if linkage == "ward":
-            joined = ((wi + weight) * gap[i] + (wj + weight) * gap[j] - weight * height) / (
-                wi + wj + weight
-            )
-        elif linkage == "average":
-            joined = (wi * gap[i] + wj * gap[j]) / (wi + wj)
-        else:
-            joined = (np.maximum if linkage == "complete" else np.minimum)(gap[i], gap[j])
-        pair = sorted((number[i], number[j]))
-        merges[step] = (*pair, np.sqrt(height) if linkage == "ward" else height, wi + wj)
-        joined[[i, j]] = np.inf
-        gone = np.isinf(gap[i]) & np.isinf(gap[j])
-        joined[gone] = np.inf
-        gap[i], gap[:, i] = joined, joined
-        gap[j], gap[:, j] = np.inf, np.inf
-        number[i], weight[i] = m + step, wi + wj
-        # Rows whose nearest was one of the two look again; others only compare with the new one.
-        stale = np.flatnonzero((nearest == i) | (nearest == j))
-        stale = np.union1d(stale, [i, j])
-        nearest[stale] = gap[stale].argmin(axis=1)
-        closest[stale] = gap[stale, nearest[stale]]
-        closer = joined < closest
-        nearest[closer], closest[closer] = i, joined[closer]
-    return merges
+def merge_summaries(weights: np.ndarray, centers: np.ndarray, linkage: str = "ward", metric: str = "euclidean") -> np.ndarray:
+    """Merge a few weighted centroids in one place: rows of ``(left, right, height, weight)``, see
+    :func:`merge_matrix`."""
+    check_linkage(linkage, metric)
+    centers, weights = np.asarray(centers, dtype=float), np.asarray(weights, dtype=float)
+    gap = gaps(centers, centers, metric) if len(weights) else np.zeros((0, 0))
+    return merge_matrix(ward_costs(gap, weights, weights) if linkage == "ward" else gap, weights, linkage)
 
 
 def cut(merges: np.ndarray, m: int, n_clusters: int) -> np.ndarray:
@@ -99,58 +42,28 @@ def cut(merges: np.ndarray, m: int, n_clusters: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class AgglomerativeFit:
-    """Stored labels ``(doc_id, cluster)`` of the fitted rows, and the merges that led to them."""
+    """Stored labels ``(doc_id, cluster)`` of the fitted rows, and the merges that led to them: ``(step,
+    left, right, height, size)`` over rows (or groups) numbered from 0 by key."""
 
     labels: DataFrame
-    merges: np.ndarray
+    merges: DataFrame | None
     n_groups: int
 
     def predict(self, df: DataFrame, key: str = "doc_id") -> DataFrame:
         """Attach the stored labels; rows that were not fitted have none."""
         return df.join(self.labels, key)
 
-    def merges_table(self, spark: SparkSession) -> DataFrame:
-        return merges_frame(spark, self.merges)
-
-
-def merges_frame(spark: SparkSession, merges: np.ndarray, first_step: int = 0) -> DataFrame:
-    rows = [
-        (first_step + s, int(a), int(b), float(h), int(round(w)))
-        for s, (a, b, h, w) in enumerate(merges)
-    ]
-    return spark.createDataFrame(rows, _MERGES)
-
 
 def summarise(
-    df: DataFrame, max_groups: int, *, vector: str = "vector", key: str = "doc_id", seed: int = 42
-) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """At most ``max_groups`` weighted centroids, and ``(doc_id, group)`` saying who is in which.
-
-    Up to ``max_groups`` rows each row is its own group, so nothing is approximated.
-    """
+    df: DataFrame, max_groups: int, *, vector: str = "vector", key: str = "doc_id", seed: int = 42, n_init: int = 10, max_iter: int = 300
+) -> tuple[DataFrame, DataFrame]:
+    """``(key, group)`` of every row and ``(id, weight, vector)`` of the K-Means groups, at most ``max_groups``."""
     rows = df.select(key, vector)
-    n = rows.count()
-    if n <= max_groups:
-        kept = rows.orderBy(key).collect()  # at most max_groups rows
-        numbers = [(row[key], group) for group, row in enumerate(kept)]
-        schema = f"{key} {dict(rows.dtypes)[key]}, group int"
-        members = df.sparkSession.createDataFrame(numbers, schema)
-        return members, np.ones(n), np.array([row[vector] for row in kept])
-    fitted = fit_kmeans(rows, max_groups, seed=seed, n_init=1, max_iter=10, vector=vector)
-    members = fitted.predict(rows, "group")
-    summaries = (
-        members.groupBy("group")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .join(centroids(members, vector, "group"), "group")
-        .orderBy("group")
-        .collect()  # at most max_groups rows
-    )
-    place = df.sparkSession.createDataFrame(
-        [(row["group"], new) for new, row in enumerate(summaries)], "group int, place int"
-    )
-    numbered = members.join(F.broadcast(place), "group").select(key, F.col("place").alias("group"))
-    weights = np.array([row["size"] for row in summaries], dtype=float)
-    return numbered, weights, np.array([row["centroid"] for row in summaries])
+    fitted = fit_kmeans(rows, max_groups, seed=seed, n_init=n_init, max_iter=max_iter, vector=vector)
+    members = cut_lineage(fitted.predict(rows, "group"))
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("weight"))
+    groups = sizes.join(centroids(members, vector, "group"), "group").select(F.col("group").alias("id"), "weight", F.col("centroid").alias("vector"))
+    return members.select(key, "group"), groups
 
 
 def fit_agglomerative(
@@ -159,19 +72,35 @@ def fit_agglomerative(
     *,
     linkage: str = "ward",
     metric: str = "euclidean",
-    max_groups: int = MAX_GROUPS,
+    max_groups: int | None = None,
+    n_init: int = 10,
+    max_iter: int = 300,
     seed: int = 42,
     vector: str = "vector",
     key: str = "doc_id",
+    rest: int = REST,
 ) -> AgglomerativeFit:
-    """Merge bottom-up to ``n_clusters``; exact for up to ``max_groups`` rows."""
-    members, weights, centers = summarise(df, max_groups, vector=vector, key=key, seed=seed)
-    if not 1 <= n_clusters <= len(weights):
-        raise ValueError(f"n_clusters must lie between 1 and {len(weights)}")
-    merges = merge_summaries(weights, centers, linkage, metric)
-    labels = cut(merges, len(weights), n_clusters)
-    table = df.sparkSession.createDataFrame(
-        [(group, int(label)) for group, label in enumerate(labels)], "group int, cluster int"
-    )
-    stored = members.join(F.broadcast(table), "group").select(key, "cluster")
-    return AgglomerativeFit(stored, merges, len(weights))
+    """Merge bottom-up to ``n_clusters``, exactly and at every size alike.
+
+    Comparing all rows is quadratic. For very many rows ``max_groups`` puts K-Means groups (``n_init``
+    restarts of up to ``max_iter`` steps) in their place, which only fits Ward's linkage: its merges are
+    exact for weighted means.
+    """
+    check_linkage(linkage, metric)
+    if max_groups is None:
+        # In key order the numbers also say which member of a cluster is its first.
+        members = cut_lineage(number_rows(df.select(key, vector), [key], "group"))
+        points = members.select(F.col("group").alias("id"), F.lit(1).alias("weight"), vector).withColumnRenamed(vector, "vector")
+        members = members.select(key, "group")
+    elif linkage != "ward":
+        raise ValueError("groups stand for their rows in ward linkage only; leave max_groups out")
+    else:
+        members, points = summarise(df, max_groups, vector=vector, key=key, seed=seed, n_init=n_init, max_iter=max_iter)
+        order = cut_lineage(number_rows(points.select("id"), ["id"], "place"))
+        points = points.join(order, "id").select(F.col("place").alias("id"), "weight", "vector")
+        members = members.join(F.broadcast(order), members["group"] == order["id"]).select(key, F.col("place").alias("group"))  # max_groups rows
+    tree = merge_rounds(points, linkage, metric, rest)
+    if not 1 <= n_clusters <= tree.n:
+        raise ValueError(f"n_clusters must lie between 1 and {tree.n}")
+    labels = tree.cut(0, n_clusters).withColumnRenamed("id", "group")
+    return AgglomerativeFit(members.join(labels, "group").select(key, "cluster"), tree.numbered(), tree.n)

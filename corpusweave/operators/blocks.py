@@ -31,13 +31,15 @@ def compare_blocks(
     n_blocks: int,
     compare: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
+    left: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``compare(left_block, right_block)`` for every ordered pair of blocks."""
+    """Run ``compare(left_block, right_block)`` for every ordered pair of blocks, the left ones taken from
+    ``left`` if it is given."""
     tasks = min(n_blocks * n_blocks, 4 * task_count(rows.sparkSession))
-    placed = rows.withColumn("_block", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int"))
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = placed.withColumnRenamed("_block", "_left").withColumn("_right", every)
-    right = placed.withColumnRenamed("_block", "_right").withColumn("_left", every)
+    left = (rows if left is None else left).withColumn("_left", block).withColumn("_right", every)
+    right = rows.withColumn("_right", block).withColumn("_left", every)
 
     def grouped(side: DataFrame):
         # Fresh aliases keep the two sides apart, as both come from the same table.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusweave.operators.agglomerative import merge_summaries, merges_frame, summarise
+from corpusweave.operators.agglomerative import fit_agglomerative
 from corpusweave.operators.neighbours import spectral_embedding
 from corpusweave.operators.pca import fit_pca
 from corpusweave.operators.sampling import sample_n
@@ -69,18 +69,18 @@ def scatter_all(
 
 def dendrogram_merges(
     df: DataFrame,
-    sample_size: int = 300,
+    sample_size: int | None = 300,
     last_p: int = 30,
     vector: str = "vector",
     key: str = "doc_id",
     seed: int = 42,
 ) -> DataFrame:
-    """``(step, left, right, height, size)``: Ward merges of a sample, the top ``last_p`` leaves."""
-    sample = sample_n(df.select(key, vector), sample_size, key, seed)
-    _, weights, centers = summarise(sample, sample_size, vector=vector, key=key)
-    merges = merge_summaries(weights, centers, "ward")
-    first = max(0, len(merges) - (last_p - 1))
-    return merges_frame(df.sparkSession, merges[first:], first)
+    """``(step, left, right, height, size)``: Ward merges of a sample (None: of all rows), the top
+    ``last_p`` leaves; leaves are numbered by key."""
+    rows = df.select(key, vector)
+    sample = rows if sample_size is None else sample_n(rows, sample_size, key, seed)
+    merges = fit_agglomerative(sample, 1, vector=vector, key=key).merges
+    return merges.orderBy(F.desc("step")).limit(max(last_p - 1, 0)).orderBy("step")
 
 
 def size_histogram(sizes: DataFrame, cluster: str = "cluster") -> DataFrame:

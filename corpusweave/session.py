@@ -73,6 +73,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def set_down(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a scratch table and read again: one run of the plan, and unlike a checkpoint
+    nothing of what the optimiser inferred from it is carried into the next round of a loop."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application."""
     context = spark.sparkContext

@@ -53,7 +53,7 @@ def save_model(spark: SparkSession, fitted: Clusterer, path: str) -> None:
         note = {"kind": "gmm", "vector": fitted.vector, "inertia": None}
     else:
         fitted.labels.write.mode("overwrite").parquet(f"{path}/labels")
-        fitted.merges_table(spark).write.mode("overwrite").parquet(f"{path}/merges")
+        fitted.merges.write.mode("overwrite").parquet(f"{path}/merges")
         note = {"kind": "agglomerative", "vector": None, "inertia": None}
     kind = spark.createDataFrame([tuple(note.values())], "kind string, vector string, inertia double")
     kind.write.mode("overwrite").json(f"{path}/kind")
@@ -66,9 +66,8 @@ def load_model(spark: SparkSession, path: str) -> Clusterer:
         return KMeansFit(model, note["inertia"], (note["inertia"],), note["vector"])
     if note["kind"] == "gmm":
         return GmmFit.load(spark, f"{path}/model")
-    merges = spark.read.parquet(f"{path}/merges").orderBy("step").toPandas()  # below 2,000 rows
-    steps = merges[["left", "right", "height", "size"]].to_numpy(dtype=float)
-    return AgglomerativeFit(spark.read.parquet(f"{path}/labels"), steps, len(steps) + 1)
+    merges = spark.read.parquet(f"{path}/merges")
+    return AgglomerativeFit(spark.read.parquet(f"{path}/labels"), merges, merges.count() + 1)
 
 
 def content_identity(df: DataFrame) -> str:

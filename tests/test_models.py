@@ -141,7 +141,47 @@ def test_ward_on_weighted_summaries_is_exact():
     assert np.allclose(whole, grouped)
 
 
-@pytest.mark.parametrize("max_groups", [2_000, 25])
+def steps_of(fit):
+    return fit.merges.orderBy("step").select("left", "right", "height", "size").toPandas().to_numpy(dtype=float)
+
+
+@pytest.mark.parametrize(
+    "linkage, metric", [("ward", "euclidean"), ("average", "euclidean"), ("average", "cosine"), ("complete", "manhattan"), ("single", "euclidean")]
+)
+def test_rounds_give_the_tree_of_single_merges(spark, monkeypatch, linkage, metric):
+    monkeypatch.setattr("corpusweave.operators.blocks.BLOCK_ROWS", 25)
+    monkeypatch.setattr("corpusweave.operators.merging.BLOCK_ROWS", 25)  # late clusters are dealt to several blocks
+    x = np.random.default_rng(8).normal(size=(70, 3))
+    rows = spark.createDataFrame([(10 + i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, vector array<double>").repartition(4)
+    fit = ag.fit_agglomerative(rows, 6, linkage=linkage, metric=metric, rest=24)
+    whole = ag.merge_summaries(np.ones(70), x, linkage, metric)
+    assert np.allclose(steps_of(fit), whole)
+    labels = {r["doc_id"]: r["cluster"] for r in fit.labels.collect()}
+    assert [labels[10 + i] for i in range(70)] == ag.cut(whole, 70, 6).tolist()
+
+
+def test_ward_rounds_on_500_rows_and_copies(spark):
+    x = np.random.default_rng(3).normal(size=(450, 8))
+    x = np.vstack([x, np.repeat(x[:5], 10, axis=0)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, vector array<double>").repartition(6)
+    fit = ag.fit_agglomerative(rows, 12)
+    whole = ag.merge_summaries(np.ones(500), x)
+    steps = steps_of(fit)
+    assert np.allclose(steps[:, 2], whole[:, 2], atol=1e-7) and steps[-1, 3] == 500
+    labels = np.array([r["cluster"] for r in fit.labels.orderBy("doc_id").collect()])
+    assert same_partition(labels.tolist(), ag.cut(whole, 500, 12).tolist())
+    inside = sum(((x[labels == c] - x[labels == c].mean(axis=0)) ** 2).sum() for c in range(12))
+    assert np.isclose(inside, (steps[: 500 - 12, 2] ** 2).sum() / 2)
+
+
+def test_few_rows_merge_too(spark):
+    schema = "doc_id bigint, vector array<double>"
+    assert ag.fit_agglomerative(spark.createDataFrame([(4, [1.0])], schema), 1).labels.collect() == [(4, 0)]
+    pair = ag.fit_agglomerative(spark.createDataFrame([(4, [1.0]), (2, [3.0])], schema), 1)
+    assert steps_of(pair).tolist() == [[0, 1, 2.0, 2]] and pair.n_groups == 2
+
+
+@pytest.mark.parametrize("max_groups", [None, 2_000, 25])
 def test_agglomerative_recovers_blobs(spark, blobs, points, tmp_path, max_groups):
     fit = ag.fit_agglomerative(blobs.drop("cluster"), 3, max_groups=max_groups)
     assert same_partition(labels_of(fit.labels), points[2])
@@ -149,7 +189,7 @@ def test_agglomerative_recovers_blobs(spark, blobs, points, tmp_path, max_groups
     store.save_model(spark, fit, str(tmp_path / "m"))
     again = store.load_model(spark, str(tmp_path / "m"))
     assert labels_of(again.predict(blobs.select("doc_id"))) == labels_of(fit.labels)
-    assert np.allclose(again.merges, fit.merges)
+    assert np.allclose(steps_of(again), steps_of(fit))
 
 
 def test_agglomerative_arguments(blobs):
@@ -157,6 +197,8 @@ def test_agglomerative_arguments(blobs):
         ag.fit_agglomerative(blobs, 3, metric="cosine")
     with pytest.raises(ValueError):
         ag.fit_agglomerative(blobs, 500)
+    with pytest.raises(ValueError):
+        ag.fit_agglomerative(blobs, 3, linkage="average", max_groups=20)
 
 
 def test_dendrogram_tail(blobs, points):
