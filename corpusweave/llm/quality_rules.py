@@ -24,19 +24,19 @@ def words_of(text: Column) -> Column:
 
 
 def _word_code(word: Column) -> Column:
-    """The first 32 bits of the word's MD5, so that other engines can compute it."""
-    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long")
+    """The first 32 bits of the word's MD5 modulo the buckets, so that other engines can compute it: as the
+    buckets are a power of two of at most 16 bits, the second half of these bits is enough."""
+    return (F.conv(F.substring(F.md5(word.cast("binary")), 5, 4), 16, 10).cast("int") % BUCKETS).cast("int")
 
 
 def _grams(codes: Column) -> Column:
     """Buckets of all words and of all pairs of neighbours, repeats included."""
-    single = F.transform(codes, lambda c: (c % BUCKETS).cast("int"))
     pair = F.zip_with(
         F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))),
         F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))),
-        lambda a, b: ((a * 31 + b * 17 + 7) % BUCKETS).cast("int"),
+        lambda a, b: (a * 31 + b * 17 + 7) % BUCKETS,
     )
-    return F.concat(single, pair)
+    return F.concat(codes, pair)
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -63,8 +63,8 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumns(
             {
-                "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-                "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+                "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+                "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
                 "_lines": lines,
                 "_windows": F.when(F.col("n_words") >= 3, windows),
             }
