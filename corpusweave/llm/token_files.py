@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusweave.llm import bytepairs
+from corpusweave.llm.bytehash import text_bytes
 from corpusweave.session import scratch_path, ship_package
 
 BLOCK_TOKENS = 1 << 19  # a block is closed when it holds this many
@@ -133,8 +134,10 @@ def write_token_files(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0), batch.column(1), strict=True):
-                own = np.bincount(np.frombuffer(ids.as_py(), f"<u{width.as_py()}"), minlength=len(total))
+            width, (data, offsets) = batch.column(0).to_numpy(), text_bytes(batch.column(1))
+            for w in np.unique(width).tolist():  # one width for a vocabulary
+                whole = data if (width == w).all() else np.concatenate([data[a:b] for a, b, own in zip(offsets, offsets[1:], width, strict=False) if own == w])
+                own = np.bincount(whole.view(f"<u{w}"), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
