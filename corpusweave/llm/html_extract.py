@@ -1,8 +1,15 @@
-"""Main text of web pages: blocks are judged by stop words, length and links, short ones by neighbours."""
+"""Main text of web pages: blocks are judged by stop words, length and links, short ones by neighbours.
+
+Element names decide only where an element never holds article text, and for reader comments, which read
+like an article. All else about names is evidence: blocks in a container whose class or id names a notice,
+advert or menu, and blocks outside the page's article elements, are out unless the densities find most of
+the page's text there.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -29,13 +36,28 @@ NEVER = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas menu dialog".split()
 )
 MAIN = frozenset(("article", "main"))
-# words of class and id names that mark what is not part of an article
+# words of class and id names that speak against a container, those of reader comments, and words that say
+# nothing beside them
 MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside "
     "footer masthead header cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related "
-    "recommended widget comment comments reply replies respond disqus form login search pagination pager".split()
+    "recommended widget form login search pagination pager".split()
+)
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+NEUTRAL = frozenset(
+    "area bar block body box container content bottom entry group inner item items left list outer panel posts reader right row section site stream thread top "
+    "user users widget wrap wrapper".split()
 )
-_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+
+
+def named(names: str, words: frozenset[str]) -> bool:
+    """Whether a class or id, as a whole, is one of ``words``, alone or with neutral ones beside it."""
+    for token in names.split():
+        parts = [p.lower() for p in _PARTS.findall(token) if not p.isdigit()]
+        if any(p in words for p in parts) and all(p in words or p in MARKS or p in NEUTRAL for p in parts):
+            return True
+    return False
 
 
 @dataclass
@@ -44,6 +66,7 @@ class Block:
     linked: int  # characters inside links
     place: int | None  # number of the article that holds it
     out: bool  # inside an element that is never article text
+    mark: int | None = None  # number of the outermost container around it whose name speaks against it
     good: bool | None = None
 
 
@@ -52,6 +75,7 @@ class _Open:
     tag: str
     out: bool
     place: int | None
+    mark: int | None
 
 
 @dataclass
@@ -61,26 +85,28 @@ class _Reader(HTMLParser):
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[_Open] = []
+        self.open: dict[str, list[int]] = defaultdict(list)  # where on the stack the elements of a name stand
         self.parts: list[str] = []
-        self.linked = self.links = self.places = 0
+        self.linked = self.places = self.marks = 0
+
+    def top(self) -> _Open:
+        return self.stack[-1] if self.stack else _Open("", False, None, None)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            top = self.stack[-1] if self.stack else _Open("", False, None)
-            self.blocks.append(Block(text, self.linked, top.place, top.out))
+            top = self.top()
+            self.blocks.append(Block(text, self.linked, top.place, top.out, top.mark))
         self.parts.clear()
         self.linked = 0
 
     def drop(self, tag: str, stop: frozenset[str]) -> None:
-        """Close the innermost open ``tag``, unless an element of ``stop`` is nearer."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                self.links -= sum(x.tag == "a" for x in self.stack[i:])
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in stop:
-                return
+        """Close the innermost open ``tag``, unless an element of ``stop`` is nearer. An element leaves the
+        stack once, and a name that is not open costs nothing."""
+        if not self.open[tag] or any(self.open[s][-1] > self.open[tag][-1] for s in stop if self.open[s]):
+            return
+        for _ in range(len(self.stack) - self.open[tag][-1]):
+            self.open[self.stack.pop().tag].pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -92,19 +118,22 @@ class _Reader(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        top = self.stack[-1] if self.stack else _Open("", False, None)
-        place = top.place
-        if tag in MAIN and place is None and not top.out:
-            self.places += 1
-            place = self.places
+        top = self.top()
+        place, mark = top.place, top.mark
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        marked = tag not in ("html", "body", *MAIN) and any(w.lower() in MARKS for w in _PARTS.findall(names))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        outside = tag == "header" and place is None
-        if not top.out and tag not in BLOCKS and (marked or tag in NEVER):
+        inside = tag not in ("html", "body")
+        out = top.out or tag in NEVER or hidden or (tag == "header" and place is None) or (inside and named(names, COMMENTS))
+        if tag in MAIN and place is None and not out:
+            self.places += 1
+            place = self.places
+        if mark is None and inside and tag not in MAIN and named(names, MARKS):
+            self.marks += 1
+            mark = self.marks
+        if tag not in BLOCKS and (out, mark) != (top.out, top.mark):
             self.flush()
-        self.stack.append(_Open(tag, top.out or tag in NEVER or marked or hidden or outside, place))
-        self.links += tag == "a"
+        self.open[tag].append(len(self.stack))
+        self.stack.append(_Open(tag, out, place, mark))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -113,13 +142,14 @@ class _Reader(HTMLParser):
             self.parts.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or (self.stack and self.stack[-1].out and self.stack[-1].tag == tag):
+        top = self.top()
+        if tag in BLOCKS or (top.tag == tag and (top.out or top.mark is not None)):
             self.flush()
-        self.drop(tag, frozenset(MAIN) if tag not in MAIN else frozenset())
+        self.drop(tag, MAIN if tag not in MAIN else frozenset())
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
-        if self.links:
+        if self.open["a"]:
             self.linked += len(data.strip())
 
 
@@ -131,26 +161,49 @@ def read_blocks(html: str) -> list[Block]:
     return reader.blocks
 
 
+def density_label(block: Block, stop_words: frozenset[str]) -> bool | None:
+    """Text or not by length, links and stop words alone; None where they do not say."""
+    length = len(block.text)
+    if block.linked > LINK_DENSITY * length:
+        return False
+    if length >= LONG:
+        return True
+    if length >= MIDDLE:
+        words = [w.strip(".,;:!?\"'()[]*#$%&|-").lower() for w in block.text.split()]
+        if sum(w in stop_words for w in words) >= STOP_DENSITY * len(words):
+            return True
+    return None
+
+
 def classify(blocks: list[Block], stop_words: frozenset[str]) -> None:
-    """Set ``good``: first from each block alone, then short blocks from their nearest decided neighbours."""
-    articles = any(b.place is not None and not b.out for b in blocks)
-    for b in blocks:
-        length = len(b.text)
-        if b.out or (articles and b.place is None) or b.linked > LINK_DENSITY * length:
+    """Set ``good``: first from each block alone, then short blocks from their nearest decided neighbours.
+
+    What is around a page's articles is out, unless ten times the text that they hold is found there by the
+    densities. A named container loses its blocks, unless more than half of all characters of its article
+    (or of a page without articles) are in it and the densities call them text.
+    """
+    kept = [b for b in blocks if not b.out]
+    for b in kept:
+        b.good = density_label(b, stop_words)
+    inside = sum(len(b.text) for b in kept if b.place is not None and b.mark is None)
+    around = sum(len(b.text) for b in kept if b.place is None and b.mark is None and b.good)
+    articles = 10 * inside >= around and any(b.place is not None for b in kept)
+    whole: dict[int | None, int] = defaultdict(int)
+    held: dict[int | None, int] = defaultdict(int)
+    for b in kept:
+        whole[b.place] += len(b.text)
+        held[b.mark] += len(b.text) * bool(b.good)
+    named_out = [b.out or (b.mark is not None and 2 * held[b.mark] <= whole[b.place]) for b in blocks]
+    for b, out in zip(blocks, named_out, strict=True):
+        if out or (articles and b.place is None):
             b.good = False
-        elif length >= LONG:
-            b.good = True
-        elif length >= MIDDLE:
-            words = [w.strip(".,;:!?\"'()[]*#$%&|-").lower() for w in b.text.split()]
-            if sum(w in stop_words for w in words) >= STOP_DENSITY * len(words):
-                b.good = True
     decided = [b.good for b in blocks]
     for i, b in enumerate(blocks):
         if b.good is None:
             near = []
             for step in (-1, 1):
                 j = i + step
-                while 0 <= j < len(blocks) and (decided[j] is None or (articles and blocks[j].place != b.place) or (articles and blocks[j].out)):
+                while 0 <= j < len(blocks) and (decided[j] is None or (articles and blocks[j].place != b.place) or (articles and named_out[j])):
                     j += step
                 if 0 <= j < len(blocks):
                     near.append((abs(j - i), not decided[j]))
@@ -169,10 +222,11 @@ def extract_text(
     """The ``keep`` columns of every page with ``text`` (string) and ``n_chars`` (its code points).
 
     Blocks are cut at block elements; a line break counts as white space. A block is out if it lies in
-    an element that is never article text (by its name, or by words of its class or id), outside the
-    page's articles if it has any, or mostly in links; it is text if it is long or, at middle length,
-    has enough stop words. A block that stays undecided takes the label of its nearest decided
-    neighbour, inside an article only of neighbours in it; with none it is text. A null or empty page
+    an element that is never article text or among reader comments, or mostly in links; it is text if it
+    is long or, at middle length, has enough stop words, unless names speak against it, see
+    :func:`classify`. A block that stays undecided takes the label of its nearest decided neighbour,
+    inside an article only of neighbours in it; with none it is text. A kept column named as a result
+    gives its place to it. A null or empty page
     gives the empty string; broken markup is read as far as it goes; repeated rows stay. Pages don't
     leave their task.
     """
@@ -192,5 +246,6 @@ def extract_text(
                     [*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], [*keep, "text", "n_chars"]
                 )
 
+    keep = [c for c in keep if c not in ("text", "n_chars")]
     source = pages.select(*keep, html_col)
     return source.mapInArrow(extracted, source.select(*keep).schema.add("text", "string").add("n_chars", "long"))

@@ -87,6 +87,56 @@ def test_short_blocks_take_the_label_of_the_nearest():
     assert [b.good for b in blocks] == [True, True, True, False, False]
 
 
+TALK = "The words of a reader go on and on, as it is in the nature of the thing, and to the end of the line. " * 3
+
+
+def test_names_are_evidence_only():
+    para = "<p>" + "It is the rest of the text, and a part of the whole that is told in the words of the land. " * 3 + "</p>"
+    own = " ".join(para[3:-4].split())
+    keeps = [f"<div class='social-history'>{para}</div>", f"<section id='related-work'>{para}</section>", f"<div class='widget'>{para * 3}</div>"]
+    for part in keeps:
+        assert main_text(f"<article><h1>T</h1><p>{TALK}</p>{part}</article>", STOP).count(own) == part.count(para)
+    for name in ("cookie-notice", "ad", "adBanner", "sidebar-left", "related-posts", "newsletter_signup"):
+        assert main_text(f"<article><p>{TALK * 3}</p><div class='{name}'>{para}</div></article>", STOP) == (TALK * 3).strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div><p>{t}</p><article class='comment'><p>{c}</p></article></div>", "<article><p>{t}</p><article class='comment'><p>{c}</p></article></article>",
+    "<article><p>{t}</p><ol class='comment-list'><li>{c}</li></ol></article>", "<p>{t}</p><div id='disqus_thread'><p>{c}</p></div>", "<main><p>{t}</p><section class='user-comments'><p>{c}</p></section></main>",
+])
+def test_reader_comments_go(page):
+    text = "All of the text is in the page, to be read as it is. " * 6
+    assert main_text(page.format(t=text, c=TALK), STOP) == text.strip()
+
+
+def test_density_alone_decides_without_names():
+    long = "The first of the two is in the text, and the second is to be of a kind that is in the page as well. "
+    dense = "It is in the nature of the words to be a part of the whole and of the text."
+    names = "Berlin Paris Madrid Lisbon Vienna Prague Warsaw Zagreb Athens Dublin Oslo Bergen"
+    links = "<a href='/1'>One of the pages that is to be read in the end</a> and <a href='/2'>one of the others that is in the list</a>"
+    page = f"<div>{names}</div><div>{links}</div><div>{long * 3}</div><div>Short one</div><div>{dense}</div><div>{links}</div><div>End of it</div>"
+    # the list of names has no stop words and stands next to links; the last short block as well
+    assert main_text(page, STOP).split("\n") == [(long * 3).strip(), "Short one", dense]
+
+
+def test_an_article_that_holds_little_is_not_the_page():
+    text = "The rest of the text is in a long block, and the words of it go to the end of the page. " * 9
+    assert main_text(f"<article><p>Teaser of the day</p></article><div><p>{text}</p></div>", STOP).endswith(text.strip())
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        for page in ("<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<li><ul>" + "<b>" * n + "<li></li>" * n, "<p>" * n + "</div>" * n):
+            html_extract.read_blocks(page)
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.05)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", "<p>only</p>", "t"), (3, "w", "<p>only</p>", "t")]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
