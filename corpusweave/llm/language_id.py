@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.llm.bytehash import text_bytes
@@ -23,7 +23,7 @@ WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 24  # of each width
 EMBEDDING = 12  # numbers per byte value
-SAMPLE_ROWS = 8_192  # labelled texts that are learnt from, those with the smallest hashes
+SAMPLE_ROWS = 8_192  # labelled texts that are learnt from, those whose ids have the smallest hashes
 EPOCHS = 8
 BATCH = 64  # windows in one step of training, and in one block of scoring
 UNKNOWN = "und"
@@ -127,7 +127,7 @@ def in_windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tup
 def fit_languages(
     docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS
 ) -> ByteNetwork:
-    """Learn from at most ``sample_rows`` labelled texts, those with the smallest hash of id and text.
+    """Learn from at most ``sample_rows`` labelled texts, those with the smallest hash of their id.
 
     Each gives one window, chosen by the hash, so that at most sample_rows * WINDOW bytes meet in the one
     task that trains. Rows without language or without a letter are not learnt from. Languages stand in
@@ -135,15 +135,24 @@ def fit_languages(
     """
     spark = docs.sparkSession
     ship_package(spark)
-    order = F.xxhash64(id_col, text_col)
     body = F.col(text_col).cast("binary")
     nth = F.pmod(F.col("_order"), F.greatest(F.lit(1), F.ceil(F.length("_body") / WINDOW)))
-    sample = (
-        docs.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-        .select(order.alias("_order"), F.col(lang_col).cast("string").alias("_lang"), body.alias("_body"))
+    known = (
+        docs.where(F.col(lang_col).isNotNull())
+        .select(F.xxhash64(id_col).alias("_order"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"), body.alias("_body"))
         .withColumn("_window", F.substring("_body", (nth * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+    )
+    # a histogram of the leading bits of the hashes, which reads no texts, leaves little more than the sample to be sorted
+    step = F.shiftrightunsigned("_order", 52)
+    histogram = known.select(step.alias("step")).groupBy("step").count()
+    running = F.sum("count").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # 4,096 rows
+    cut = histogram.withColumn("reached", running).where(F.col("reached") >= sample_rows).agg(F.min("step")).scalar()
+    order = F.struct(F.shiftrightunsigned("_order", 1), "_order", "_lang", "_window")
+    sample = (
+        known.where(step <= F.coalesce(cut, F.lit(1 << 12)))
+        .where(has_letter(F.col("_text")))
         .select("_order", "_lang", "_window")
-        .orderBy("_order", "_lang", "_window")
+        .orderBy(order)
         .limit(sample_rows)
     )
 
