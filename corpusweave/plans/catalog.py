@@ -835,7 +835,7 @@ def size_share(spark, sf_dir):
 # --- whole experiments --------------------------------------------------------------------------
 
 
-def _run(spark, sf_dir, config: ExperimentConfig, **options) -> DataFrame:
+def run_whole(spark, sf_dir, config: ExperimentConfig, **options) -> DataFrame:
     config = dataclasses.replace(config, cache=CacheConfig(enabled=False))
     docs = spread_documents(spark, sf_dir).withColumnRenamed("source", "name")
     summary = run_experiment(docs, config, **options).summary
@@ -865,16 +865,16 @@ def run_experiment_(spark, sf_dir):
 
 @query
 def preset_tfidf_kmeans(spark, sf_dir):
-    return _run(spark, sf_dir, presets.TFIDF_KMEANS)
+    return run_whole(spark, sf_dir, presets.TFIDF_KMEANS)
 
 
 @query
 def preset_tfidf_gmm(spark, sf_dir):
-    return _run(spark, sf_dir, presets.TFIDF_GMM)
+    return run_whole(spark, sf_dir, presets.TFIDF_GMM)
 
 
 @query
 def preset_dense_ward(spark, sf_dir):
-    return _run(
+    return run_whole(
         spark, sf_dir, presets.DENSE_WARD, make_encoder=lambda: dense.HashingEncoder(128)
     )
