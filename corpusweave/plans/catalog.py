@@ -548,10 +548,10 @@ def knn_graph(spark, sf_dir):
 
 @query
 def knn_graph_hashed(spark, sf_dir):
-    """How many exact neighbour edges there are, and whether hashing finds nine tenths of them."""
+    """How many exact neighbour edges there are, and whether hashing in short runs finds nine tenths of them."""
     rows = vectors(spark, sf_dir)
     exact = neighbours.knn_graph(rows, 15).select("src", "dst")
-    found = neighbours.knn_graph(rows, 15, method="hashed").select("src", "dst", F.lit(1).alias("hit"))
+    found = neighbours.knn_graph(rows, 15, method="hashed", run_rows=64).select("src", "dst", F.lit(1).alias("hit"))
     counts = exact.join(found, ["src", "dst"], "left").agg(F.count(F.lit(1)).alias("n_edges"), F.count("hit").alias("hits"))
     return counts.select("n_edges", (F.col("hits") >= 0.9 * F.col("n_edges")).alias("recall_reached"))
 

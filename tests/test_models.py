@@ -268,14 +268,42 @@ def test_exact_neighbours(monkeypatch, blobs, points):
     assert np.array_equal(got["dst"].to_numpy().reshape(-1, 5), nearest_sets(points[1], 5))
 
 
-def test_hashed_neighbours_find_most(monkeypatch, blobs, points):
-    monkeypatch.setattr(neighbours, "RUN_ROWS", 40)
-    got = neighbours.knn_graph(blobs, 6, method="hashed", passes=8).toPandas()
+def test_hashed_neighbours_find_most(blobs, points):
+    got = neighbours.knn_graph(blobs, 6, method="hashed", passes=8, run_rows=40).toPandas()
     assert (got.groupby("src").size() == 5).all()
     true = {(i, int(j)) for i, row in enumerate(nearest_sets(points[1], 5)) for j in row}
     assert len(true & set(zip(got["src"], got["dst"]))) / len(true) > 0.8
 
 
+def test_refined_neighbours_of_vectors_without_groups(spark):
+    x = np.random.default_rng(6).normal(size=(3_000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, vector array<double>").repartition(8)
+    truth = nearest_sets(x, 9)
+
+    def recall(rounds):
+        got = neighbours.knn_graph(rows, 10, method="hashed", passes=3, run_rows=256, rounds=rounds).toPandas()
+        assert (got.groupby("src").size() == 9).all()
+        true = {(i, int(j)) for i, row in enumerate(truth) for j in row}
+        return len(true & set(zip(got["src"], got["dst"]))) / len(true)
+
+    assert recall(0) < 0.85 and recall(6) >= 0.95
+
+
+def test_new_rows_land_in_their_blob(spark, blobs, points):
+    rng = np.random.default_rng(9)
+    fitted = blobs.drop("cluster")
+    layout = neighbours.spectral_embedding(fitted, 2, n_neighbors=10)
+    assert layout.first()["residual"] <= neighbours.TOLERANCE
+    fresh = [(i, (rng.normal(0, 0.4, 4) + (0.0, 7.0, -7.0)[i % 3]).tolist()) for i in range(12)]
+    new = spark.createDataFrame(fresh, "doc_id bigint, vector array<double>")
+    placed = {r["doc_id"]: np.array(r["reduced"]) for r in neighbours.place_new_rows(fitted, layout, new, n_neighbors=10).collect()}
+    old = {r["doc_id"]: np.array(r["reduced"]) for r in layout.collect()}
+    centers = [np.mean([old[i] for i, c in zip(points[0], points[2], strict=True) if c == g], axis=0) for g in range(3)]
+    assert len(placed) == 12
+    assert all(np.argmin([np.linalg.norm(p - c) for c in centers]) == i % 3 for i, p in placed.items())
+
+
 def test_copies_get_full_neighbour_lists(spark):
     rows = [(i, [1.0, 2.0] if i < 60 else [float(i), 0.0]) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id bigint, vector array<double>").repartition(4)
