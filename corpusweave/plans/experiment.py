@@ -149,7 +149,7 @@ def _reduce(rows: DataFrame, config: ExperimentConfig, embedder: TfidfModel | No
     layout = spectral_embedding(
         rows, size, n_neighbors=extra.get("n_neighbors", 15), seed=seed, method=extra.get("method", "exact")
     )
-    return rows.join(layout, "doc_id")
+    return rows.join(layout.drop("residual"), "doc_id")
 
 
 def _cluster(rows: DataFrame, config: ExperimentConfig):
