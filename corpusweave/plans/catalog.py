@@ -66,13 +66,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a vector, cleaned, with vector and label."""
-    docs = spread_documents(spark, sf_dir).select(
-        "doc_id", tx.standard_preprocess(F.col("text")).alias("text"), F.col("source").alias("name")
+    """All documents, cleaned, with a vector measured on the raw text and the source's number as a given cluster."""
+    text = F.coalesce("text", F.lit(""))
+    e = F.length(text) - F.length(F.replace(text, F.lit("e"), F.lit("")))
+    measures = F.array(F.length(text), F.size(F.split(text, " ")), e).cast("array<double>")
+    cluster = F.coalesce(F.expr("try_cast(substring(source, 4) AS int)"), F.lit(-1))
+    return spread_documents(spark, sf_dir).select(
+        "doc_id", tx.standard_preprocess(F.col("text")).alias("text"), F.col("source").alias("name"), measures.alias("vector"), cluster.alias("cluster")
     )
-    labels = vectors(spark, sf_dir).select("doc_id", "cluster")
-    ready = dense.precomputed_embeddings(docs, table(spark, sf_dir, "embeddings"), missing="drop")
-    return ready.join(labels, "doc_id")
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -433,7 +434,7 @@ class _TextMeasures:
 @query
 def dense_encode(spark, sf_dir):
     docs = spread_documents(spark, sf_dir).select(
-        "doc_id", tx.light_preprocess(F.col("text"), token_limit=256).alias("text")
+        "doc_id", tx.light_preprocess(F.col("text"), token_limit=-1).alias("text")
     )
     encoded = dense.dense_encode(docs, _TextMeasures)
     return encoded.select("doc_id", F.posexplode("vector").alias("idx", "value"))

@@ -141,12 +141,13 @@ METRICS = f"""WITH {VECTORS}, {SILHOUETTE}, {DAVIES_BOULDIN},
            (SELECT string_agg(cluster || ':' || size, ' ' ORDER BY cluster) FROM counts) AS cluster_sizes"""
 
 LABELLED = f"""
-    docs AS (SELECT d.doc_id, {STANDARD} AS text, source AS name, label AS cluster
-             FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+    docs AS (SELECT doc_id, {STANDARD} AS text, source AS name, coalesce(try_cast(substring(source, 4) AS INTEGER), -1) AS cluster FROM documents),
     kept AS (SELECT * FROM pts SEMI JOIN docs USING (doc_id))"""
 
 LABELLED_VECTORS = VECTORS.replace(
-    "FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
+    "pts AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label AS cluster FROM embeddings)",
+    """pts AS (SELECT doc_id, [length(t), len(string_split(t, ' ')), length(t) - length(replace(t, 'e', ''))]::DOUBLE[] AS v,
+        coalesce(try_cast(substring(source, 4) AS INTEGER), -1) AS cluster FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
 )
 
 
@@ -224,6 +225,9 @@ FUZZY = f"""WITH RECURSIVE {VECTORS}, {KNN},
     both_ways AS (SELECT src, dst, w AS a, 0.0::DOUBLE AS b FROM directed UNION ALL SELECT dst, src, 0.0::DOUBLE, w FROM directed)
     SELECT src, dst, {_r('max(a) + max(b) - max(a) * max(b)')} AS weight FROM both_ways GROUP BY src, dst"""
 
+TEXT_MEASURES = """SELECT doc_id, unnest([0, 1, 2]) AS idx,
+    unnest([length(t), length(t) - length(replace(t, ' ', '')) + 1, length(t) - length(replace(t, 'e', ''))])::DOUBLE AS value
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
 CENTER_CELLS = f"WITH {VECTORS} SELECT cluster, idx, {_r('value')} AS value FROM means"
 CLUSTER_SIZES = "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label"
 SAVED_LABELS = "SELECT vec_id AS doc_id, label AS cluster FROM embeddings"
@@ -296,12 +300,10 @@ ORACLES: dict[str, str] = {
             (SELECT item_id AS doc_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY doc_id, term),
         raw AS (SELECT doc_id, term, tf * idf AS raw FROM new_tf JOIN vocab USING (term))
         SELECT doc_id, term, {_r('raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))')} AS weight FROM raw""",
-    "dense_encode": f"""SELECT doc_id, unnest([0, 1, 2]) AS idx,
-        unnest([length(t), length(t) - length(replace(t, ' ', '')) + 1, length(t) - length(replace(t, 'e', ''))])::DOUBLE AS value
-        FROM (SELECT doc_id, array_to_string(({_split("coalesce(text, '')")})[1:256], ' ') AS t FROM documents)""",
-    "dense_encode_whole": """SELECT doc_id, unnest([0, 1, 2]) AS idx,
-        unnest([length(t), length(t) - length(replace(t, ' ', '')) + 1, length(t) - length(replace(t, 'e', ''))])::DOUBLE AS value
-        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "dense_encode": TEXT_MEASURES,
+    "dense_encode_whole": TEXT_MEASURES,
+    "dense_encode_hashing": """SELECT doc_id, 64 AS width, CASE WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+        FROM documents""",
     "precomputed_embeddings": f"""SELECT doc_id, source, idx, {_r('value')} AS value FROM
         (SELECT doc_id, source, unnest(range(len(embedding)))::INTEGER AS idx, unnest(embedding::DOUBLE[]) AS value
          FROM documents JOIN embeddings ON doc_id = vec_id)
