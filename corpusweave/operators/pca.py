@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions.vectors import matrix_of, to_dense, to_ml
@@ -70,6 +70,18 @@ class PcaFit:
     def explained_variance_ratio(self) -> np.ndarray:
         return self.model.explainedVariance.toArray()
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write Spark's model and what it lacks (mean, signs, scales) below ``path``."""
+        self.model.write().overwrite().save(f"{path}/model")
+        schema = "mean array<double>, signs array<double>, scales array<double>, vector string"
+        row = (self.mean.tolist(), self.signs.tolist(), self.scales.tolist(), self.vector)
+        spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/values")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PcaFit:
+        mean, signs, scales, vector = spark.read.parquet(f"{path}/values").first()
+        return cls(PCAModel.load(f"{path}/model"), np.array(mean), np.array(signs), np.array(scales), vector)
+
     def transform(self, df: DataFrame, output: str = "reduced") -> DataFrame:
         # Spark's projection does not centre; projecting the mean once and subtracting it does.
         shift = self.model.pc.toArray().T @ self.mean

@@ -251,9 +251,12 @@ def _count_model(spark: SparkSession, terms: list[str]) -> CountVectorizerModel:
 
 
 def fit_tfidf(docs: DataFrame, config: TfidfConfig = TfidfConfig(), text: str = "text", key: str = "doc_id") -> TfidfModel:
-    """Fit the vocabulary once and keep it as a checkpointed table."""
-    table = cut_lineage(vocabulary(docs, config, text, key))
-    return TfidfModel(config, table, docs.count())
+    """Fit the vocabulary once and keep it as a checkpointed table; contradictory bounds are an error."""
+    n_docs = docs.count()
+    low, high = (bound if isinstance(bound, int) else bound * n_docs for bound in (config.min_df, config.max_df))
+    if high < low:
+        raise ValueError(f"max_df stands for {high:g} documents, fewer than the {low:g} of min_df")
+    return TfidfModel(config, cut_lineage(vocabulary(docs, config, text, key)), n_docs)
 
 
 def entries(df: DataFrame, vector: str, keep: list[str], keep_empty: bool = False) -> DataFrame:

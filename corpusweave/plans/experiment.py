@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as tx
@@ -19,18 +19,19 @@ from corpusweave.operators.interpret import cluster_term_weights, interpret
 from corpusweave.operators.kmeans import KMeansFit, fit_kmeans
 from corpusweave.operators.lemmas import lemmatize_by_table
 from corpusweave.operators.neighbours import spectral_embedding
-from corpusweave.operators.pca import fit_pca
+from corpusweave.operators.pca import PcaFit, fit_pca
 from corpusweave.operators.plotdata import (
     dendrogram_merges,
     scatter_all,
     size_histogram,
     size_share,
 )
-from corpusweave.operators.svd import fit_truncated_svd
+from corpusweave.operators.svd import SvdFit, fit_truncated_svd
 from corpusweave.operators.tfidf import TfidfModel, fit_tfidf
-from corpusweave.plans.config import ExperimentConfig
+from corpusweave.plans.config import ExperimentConfig, load_config
 from corpusweave.session import ship_package
 from corpusweave.sources import store
+from corpusweave.sources.corpus import load_corpus
 
 Lemmas = Mapping[str, str] | DataFrame | None
 
@@ -43,6 +44,7 @@ class Experiment:
     rows: DataFrame
     clusterer: KMeansFit | GmmFit | AgglomerativeFit
     embedder: TfidfModel | None
+    reducer: SvdFit | PcaFit | None
     metrics: DataFrame
     summary: DataFrame
     term_weights: DataFrame
@@ -72,6 +74,10 @@ class Experiment:
         folder = folder or f"{self.config.output_dir}/{self.config.name}"
         store.write_labels(self.rows, f"{folder}/cluster_labels")
         store.save_model(spark, self.clusterer, f"{folder}/models/clusterer")
+        if self.embedder is not None:
+            self.embedder.save(f"{folder}/models/vocabulary")
+        if self.reducer is not None:
+            store.save_reducer(spark, self.reducer, f"{folder}/models/reducer")
         store.write_metrics(self.metrics, f"{folder}/metrics/metrics")
         store.write_interpretations(
             self.summary, f"{folder}/interpretations/cluster_interpretations"
@@ -128,28 +134,45 @@ def _fit_embedder(docs: DataFrame, config: ExperimentConfig, path: str | None) -
     return model
 
 
-def _reduce(rows: DataFrame, config: ExperimentConfig, embedder: TfidfModel | None) -> DataFrame:
-    size, extra = config.reduction.n_components, config.reduction.extra_params
-    seed = extra.get("random_state", config.seed)
+def _reducer_input(rows: DataFrame, config: ExperimentConfig, embedder: TfidfModel | None) -> DataFrame:
+    """``rows`` with the column that the configured projection reads."""
     if config.reduction.method == "truncated_svd":
-        if embedder is None:
-            width = rows.select(F.size("vector")).first()[0]
-            rows = rows.withColumn("_features", to_ml(F.col("vector")))
-            fitted = fit_truncated_svd(rows, size, width, seed=seed, vector="_features")
-            return fitted.transform(rows).drop("_features")
-        fitted = fit_truncated_svd(
-            rows, size, embedder.n_terms, n_iter=extra.get("n_iter", 5), seed=seed
-        )
-        return fitted.transform(rows)
-    if embedder is not None:
-        # Dense rows as wide as the vocabulary; the PCA fit refuses more than it can hold.
-        rows = rows.withColumn("vector", to_dense(F.col("tfidf")))
+        return rows if embedder else rows.withColumn("_features", to_ml(F.col("vector")))
+    # Dense rows as wide as the vocabulary; the PCA fit refuses more than it can hold.
+    return rows.withColumn("vector", to_dense(F.col("tfidf"))) if embedder else rows
+
+
+def _fit_reducer(rows: DataFrame, config: ExperimentConfig, embedder: TfidfModel | None, path: str | None) -> SvdFit | PcaFit | None:
+    """The fitted projection, read from ``path`` if an earlier run left it there; none for a layout."""
+    spark = rows.sparkSession
+    size, extra = config.reduction.n_components, config.reduction.extra_params
+    if config.reduction.method == "umap":
+        return None
+    if path is not None and store.is_complete(spark, f"{path}/kind"):
+        return store.load_reducer(spark, path)
+    rows = _reducer_input(rows, config, embedder)
     if config.reduction.method == "pca":
-        return fit_pca(rows, size, whiten=extra.get("whiten", False)).transform(rows)
+        fitted = fit_pca(rows, size, whiten=extra.get("whiten", False))
+    else:
+        width = embedder.n_terms if embedder else rows.select(F.size("vector")).first()[0]
+        seed = extra.get("random_state", config.seed)
+        fitted = fit_truncated_svd(rows, size, width, n_iter=extra.get("n_iter", 5), seed=seed, vector="tfidf" if embedder else "_features")
+    if path is not None:
+        store.save_reducer(spark, fitted, path)
+    return fitted
+
+
+def _reduce(rows: DataFrame, config: ExperimentConfig, embedder: TfidfModel | None, reducer: SvdFit | PcaFit | None) -> DataFrame:
+    """``rows`` with ``reduced``, by the fitted projection or by a layout of the rows themselves."""
+    ready = _reducer_input(rows, config, embedder)
+    if reducer is not None:
+        return reducer.transform(ready).drop("_features")
+    extra = config.reduction.extra_params
     layout = spectral_embedding(
-        rows, size, n_neighbors=extra.get("n_neighbors", 15), seed=seed, method=extra.get("method", "exact")
+        ready, config.reduction.n_components, n_neighbors=extra.get("n_neighbors", 15),
+        seed=extra.get("random_state", config.seed), method=extra.get("method", "exact"),
     )
-    return rows.join(layout.drop("residual"), "doc_id")
+    return ready.join(layout.drop("residual"), "doc_id")
 
 
 def _cluster(rows: DataFrame, config: ExperimentConfig):
@@ -207,12 +230,14 @@ def run_experiment(
         embedded = store.cached_stage(spark, folder, "embedded", lineage, lambda: fresh)
         settings = config.settings("reduction") | {"seed": config.seed}
         mark = store.stage_mark("reduced", settings, lineage)
+        reducer = _fit_reducer(embedded, config, embedder, f"{folder}/reducer_{mark}")
         reduced = store.cached_stage(
-            spark, folder, "reduced", mark, lambda: _reduce(embedded, config, embedder)
+            spark, folder, "reduced", mark, lambda: _reduce(embedded, config, embedder, reducer)
         )
     else:
         embedded = fresh.persist()
-        reduced = _reduce(embedded, config, embedder).persist()
+        reducer = _fit_reducer(embedded, config, embedder, None)
+        reduced = _reduce(embedded, config, embedder, reducer).persist()
 
     clusterer, rows = _cluster(reduced, config)
     rows = rows.persist()
@@ -222,6 +247,7 @@ def run_experiment(
         rows=rows,
         clusterer=clusterer,
         embedder=embedder,
+        reducer=reducer,
         metrics=evaluate(rows, config.evaluation, vector="reduced"),
         summary=interpret(
             rows,
@@ -235,3 +261,11 @@ def run_experiment(
     if output_dir is not None:
         result.write(output_dir)
     return result
+
+
+def run_from_file(spark: SparkSession, path: str, **options) -> Experiment:
+    """Run the experiment that a settings file describes, corpus and output folder included."""
+    config = load_config(path)
+    result = run_experiment(load_corpus(spark, config.data_path), config, **options)
+    result.write()
+    return result

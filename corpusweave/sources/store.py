@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from corpusweave.operators.agglomerative import AgglomerativeFit
 from corpusweave.operators.gmm import GmmFit
 from corpusweave.operators.kmeans import KMeansFit
+from corpusweave.operators.pca import PcaFit
+from corpusweave.operators.svd import SvdFit
 
 Clusterer = KMeansFit | GmmFit | AgglomerativeFit
 
@@ -59,6 +61,18 @@ def save_model(spark: SparkSession, fitted: Clusterer, path: str) -> None:
     kind.write.mode("overwrite").json(f"{path}/kind")
 
 
+def save_reducer(spark: SparkSession, fitted: SvdFit | PcaFit, path: str) -> None:
+    """Save a fitted projection below ``path``; its kind is written last, when the rest is there."""
+    fitted.save(spark, path)
+    kind = "svd" if isinstance(fitted, SvdFit) else "pca"
+    spark.createDataFrame([(kind,)], "kind string").write.mode("overwrite").json(f"{path}/kind")
+
+
+def load_reducer(spark: SparkSession, path: str) -> SvdFit | PcaFit:
+    kind = spark.read.schema("kind string").json(f"{path}/kind").first()["kind"]
+    return (SvdFit if kind == "svd" else PcaFit).load(spark, path)
+
+
 def load_model(spark: SparkSession, path: str) -> Clusterer:
     note = spark.read.schema("kind string, vector string, inertia double").json(f"{path}/kind").first()
     if note["kind"] == "kmeans":

@@ -1,5 +1,6 @@
 import dataclasses
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from corpusweave.plans.config import ExperimentConfig, load_config
 from corpusweave.plans.experiment import preprocess, run_experiment
 from corpusweave.session import scratch_path, shared_dir
 from corpusweave.sources import corpus, store
-from corpusweave.streaming.scoring import score_documents
+from corpusweave.streaming.scoring import load_scorer, score_documents
 
 THEMES = {
     "sky": "star planet moon orbit telescope galaxy comet",
@@ -235,3 +236,36 @@ def test_scoring_a_stream_equals_scoring_a_batch(spark, themed, tmp_path):
     scored = spark.read.parquet(str(tmp_path / "scored"))
     columns = ["doc_id", "cluster"]
     assert sorted(scored.select(columns).collect()) == sorted(batch.select(columns).collect())
+
+
+def test_written_models_score_as_the_experiment_did(spark, themed, tmp_path):
+    settings = config(tmp_path)
+    done = run_experiment(themed, settings, output_dir=str(tmp_path / "out"))
+    own = {r["doc_id"]: r["cluster"] for r in done.labels.collect()}
+    again = load_scorer(spark, str(tmp_path / "out"), settings)(themed)
+    assert {r["doc_id"]: r["cluster"] for r in again.select("doc_id", "cluster").collect()} == own
+    reread = store.load_reducer(spark, str(tmp_path / "out" / "models" / "reducer"))
+    assert np.allclose(reread.components, done.reducer.components) and np.allclose(reread.singular_values, done.reducer.singular_values)
+    done.release()
+
+
+def test_dense_experiments_score_new_documents(spark, themed, tmp_path):
+    settings = ExperimentConfig.from_dict(
+        {
+            "name": "dense", "embedding_method": "sentence_transformer", "reduction": {"method": "pca", "n_components": 3},
+            "clustering": {"algorithm": "kmeans", "n_clusters": 3, "extra_params": {"n_init": 2}}, "cache": {"enabled": False},
+        }
+    )
+    make = lambda: HashingEncoder(32)
+    done = run_experiment(themed, settings, make_encoder=make)
+    store.save_reducer(spark, done.reducer, str(tmp_path / "pca"))
+    scored = score_documents(themed, settings, None, store.load_reducer(spark, str(tmp_path / "pca")), done.clusterer, make_encoder=make)
+    assert sorted(scored.select("doc_id", "cluster").collect()) == sorted(done.labels.collect())
+    with pytest.raises(ValueError):
+        score_documents(themed, settings, None, done.reducer, done.clusterer)
+    done.release()
+
+
+def test_contradictory_document_bounds_are_an_error(themed):
+    with pytest.raises(ValueError, match="max_df"):
+        tfidf.fit_tfidf(themed, tfidf.TfidfConfig(min_df=30, max_df=0.1))
