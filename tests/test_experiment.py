@@ -1,4 +1,5 @@
 import dataclasses
+import os
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from corpusweave.operators.dense import HashingEncoder
 from corpusweave.plans import presets
 from corpusweave.plans.config import ExperimentConfig, load_config
 from corpusweave.plans.experiment import preprocess, run_experiment
-from corpusweave.session import scratch_path, shared_dir
+from corpusweave.session import scratch_path, scratch_scope, set_down, shared_dir
 from corpusweave.sources import corpus, store
 from corpusweave.streaming.scoring import load_scorer, score_documents
 
@@ -214,6 +215,15 @@ def test_shared_folder_comes_from_the_session(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_scratch_tables_go_with_their_scope(spark):
+    kept = set_down(spark.range(3), "kept")
+    with scratch_scope(spark):
+        inner = set_down(spark.range(4), "inner")
+        folder = inner.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+        assert inner.count() == 4 and os.path.isdir(folder)
+    assert not os.path.exists(folder) and kept.count() == 3
+
+
 def test_scoring_a_stream_equals_scoring_a_batch(spark, themed, tmp_path):
     settings = config(tmp_path)
     cleaned = preprocess(themed, settings)

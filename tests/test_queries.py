@@ -1,5 +1,7 @@
 """Every query against its SQL on the smallest tables, and the shape of the main plans."""
 
+import re
+
 import pytest
 from check_oracles import connect, difference
 from conftest import SMALL
@@ -11,6 +13,7 @@ from corpusweave.operators import interpret
 from corpusweave.plans import catalog
 
 LAYOUTS = {"umap", "scatter_umap"}  # slow; the layout is tested on graphs with known eigenvectors
+ELSEWHERE = re.compile(r"op\d+_|pipeline$")  # tests/llm runs these and counts their rows
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,7 @@ def test_matches_sql(spark, database, name):
     assert difference(mine, database.sql(contract.oracle_sql()[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql()) - LAYOUTS))
+@pytest.mark.parametrize("name", sorted(n for n in set(contract.queries()) - set(contract.oracle_sql()) - LAYOUTS if not ELSEWHERE.match(n)))
 def test_gives_rows(spark, name):
     assert contract.queries()[name](spark, SMALL).count() > 0
 
