@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import suffix_arrays
 from corpusweave.llm.bytehash import mix, powers, prefix_sums, slices, sliding_min, span_hashes, split_words, text_bytes
-from corpusweave.session import scratch_path, ship_package
+from corpusweave.session import scratch_path, set_down, ship_package
 
 LENGTH = 400  # bytes
 ANCHOR_BYTES = 200
@@ -148,6 +148,7 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def coded_words(rows: DataFrame) -> DataFrame:
     """``rows`` of :func:`keyed_texts` with the texts as their words, each a code of four bytes: a string
     of 4 n bytes that begins at a word is then n words. Words are runs without ASCII space."""
+    ship_package(rows.sparkSession)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +306,8 @@ def drop_repeats(
     as four bytes for each word. A null text stays null, an empty one empty; shorter texts are whole;
     repeated rows lose their texts to each other; columns of any name are kept.
     """
-    coded = coded_words(keyed_texts(docs, id_col, text_col))
+    # set down, so that words are coded once and by one Python worker at a time
+    coded = set_down(coded_words(keyed_texts(docs, id_col, text_col)), "word-codes")
     spans = repeated_spans(coded, words * _WORD_BYTES, words * _WORD_BYTES // 2, shard_bytes, split_contexts)
     spans = spans.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "spans")
     own = docs.select(
