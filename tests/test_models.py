@@ -4,7 +4,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from corpusweave.operators import agglomerative as ag
-from corpusweave.operators import dense, gmm, kmeans, neighbours, pca, plotdata, svd
+from corpusweave.operators import blocks, dense, gmm, kmeans, merging, neighbours, pca, plotdata, svd
 from corpusweave.operators.partials import summed
 from corpusweave.sources import store
 
@@ -268,6 +268,29 @@ def test_exact_neighbours(monkeypatch, blobs, points):
     assert np.array_equal(got["dst"].to_numpy().reshape(-1, 5), nearest_sets(points[1], 5))
 
 
+def test_nearest_rows_are_those_of_all_differences(monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", (16, 32))
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(50, 7)), rng.normal(size=(90, 7)) * 1e-3 + 1e4  # far from 0: products round away the gaps
+    a[:20], a[20:30], b[40:60] = b[:20], 0.0, b[3]  # copies, and ties between them
+    a[30, 2], b[70, 1] = np.nan, np.inf
+    left, right = np.arange(50), np.concatenate([np.arange(89), [0]])  # id 0 comes twice
+    sizes = rng.integers(1, 9, 50).astype(float), rng.integers(1, 9, 90).astype(float)
+    with np.errstate(invalid="ignore"):
+        gap = merging.gaps(a, b)
+        for k, weigh in ((4, None), (1, sizes), (100, None)):
+            value = gap if weigh is None else merging.ward_costs(gap, *weigh)
+            value = np.where(left[:, None] == right[None, :], np.inf, value)
+            want = [(i, int(j), value[i, j]) for i in range(50) for j in np.argsort(value[i], kind="stable")[:k] if np.isfinite(value[i, j])]
+            assert [*zip(*(x.tolist() for x in blocks.nearest_rows(a, b, k, left, right, weigh)))] == want
+
+
+def test_a_row_travels_to_few_blocks(spark):
+    assert blocks.search_blocks(spark, 600_000, 64) < 50 < blocks.blocks_for(600_000)
+    assert blocks.search_blocks(spark, 600_000, 4_096) == 600  # wide rows: as many blocks as before
+    assert blocks.search_blocks(spark, 0, 64) == 1
+
+
 def test_hashed_neighbours_find_most(blobs, points):
     got = neighbours.knn_graph(blobs, 6, method="hashed", passes=8, run_rows=40).toPandas()
     assert (got.groupby("src").size() == 5).all()
