@@ -748,18 +748,26 @@ def closest_to_centroid(spark, sf_dir):
     return rounded(interpret.closest_to_centroid(vectors(spark, sf_dir)), "distance")
 
 
+def _closest(spark, sf_dir, shown: str) -> DataFrame:
+    """The document shown for every source, by what its text measures, and for every label, by its embedding."""
+    measured = labelled_documents(spark, sf_dir)
+    embedded = vectors(spark, sf_dir)
+    texts = measured.select("doc_id", "text", "name")
+    found = [
+        interpret.excerpts(interpret.closest_to_centroid(rows), texts, name="name").select(F.lit(kind).alias("kind"), "cluster", "doc_id", shown)
+        for kind, rows in (("text", measured), ("embedding", embedded))
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query
 def closest_text(spark, sf_dir):
-    rows = labelled_documents(spark, sf_dir)
-    shown = interpret.excerpts(interpret.closest_to_centroid(rows), rows)
-    return shown.select("cluster", "doc_id", "closest_sample_text")
+    return _closest(spark, sf_dir, "closest_sample_text")
 
 
 @query
 def closest_name(spark, sf_dir):
-    rows = labelled_documents(spark, sf_dir)
-    shown = interpret.excerpts(interpret.closest_to_centroid(rows), rows, name="name")
-    return shown.select("cluster", "doc_id", "closest_sample_name")
+    return _closest(spark, sf_dir, "closest_sample_name")
 
 
 @query

@@ -163,6 +163,15 @@ def _keywords(by: str, labels: str) -> str:
              FROM scored QUALIFY rank <= 15)"""
 
 
+
+def _closest(shown: str) -> str:
+    """What is shown for each source, by measures of the text, and for each label, by all embeddings."""
+    return f"""SELECT 'text' AS kind, * FROM (WITH {LABELLED_VECTORS}, {LABELLED}, {NEAREST}
+            SELECT cluster, doc_id, {shown} FROM picked JOIN docs USING (doc_id, cluster))
+        UNION ALL SELECT 'embedding' AS kind, * FROM (WITH {VECTORS}, {LABELLED}, {NEAREST}
+            SELECT picked.cluster, doc_id, {shown} FROM picked LEFT JOIN docs USING (doc_id))"""
+
+
 INTERPRET = f"""WITH {LABELLED_VECTORS}, {LABELLED}, {NEAREST},
     {_tf('SELECT doc_id, text FROM docs')}, {_vocab()}, {WEIGHTS}, {_keywords('cluster', 'docs')},
     lists AS (SELECT cluster, string_agg(term, ' ' ORDER BY rank) AS top_keywords FROM best GROUP BY cluster)
@@ -349,11 +358,8 @@ ORACLES: dict[str, str] = {
     "centroids": CENTER_CELLS,
     "closest_to_centroid": f"""WITH {VECTORS}, {NEAREST}
         SELECT cluster, doc_id, {_r('distance')} AS distance FROM picked""",
-    "closest_text": f"""WITH {LABELLED_VECTORS}, {LABELLED}, {NEAREST}
-        SELECT cluster, doc_id, substring(text, 1, 500) AS closest_sample_text
-        FROM picked JOIN docs USING (doc_id, cluster)""",
-    "closest_name": f"""WITH {LABELLED_VECTORS}, {LABELLED}, {NEAREST}
-        SELECT cluster, doc_id, name AS closest_sample_name FROM picked JOIN docs USING (doc_id, cluster)""",
+    "closest_text": _closest("substring(text, 1, 500) AS closest_sample_text"),
+    "closest_name": _closest("name AS closest_sample_name"),
     "top_keywords": f"""WITH {_tf(CLEAN)}, {_vocab()}, {WEIGHTS}, {_keywords('source', 'documents')}
         SELECT source, rank, term, {_r('mean_weight')} AS mean_weight FROM best""",
     "cluster_size": "SELECT source, count(*) AS size FROM documents GROUP BY source",
