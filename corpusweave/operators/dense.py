@@ -6,14 +6,14 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as tx
-from corpusweave.functions.vectors import to_dense, to_double, to_ml
+from corpusweave.functions.vectors import list_column, to_dense, to_double, to_ml
 from corpusweave.operators.bounds import MAX_BROADCAST_CELLS, lookup_join
 from corpusweave.operators.tfidf import term_frequency
 from corpusweave.session import ship_package
@@ -48,15 +48,16 @@ def dense_encode(
 
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
         for texts in batches:
-            texts = texts.fillna("").tolist()
-            vectors: list[np.ndarray] = []
+            # Only the texts handed to the encoder are Python strings at any time.
+            vectors = [pa.array([], pa.list_(pa.float64()))]
             for start in range(0, len(texts), batch_size):
-                vectors.extend(np.asarray(encoder(texts[start : start + batch_size]), dtype=float))
-            yield pd.Series(vectors)
+                some = [text or "" for text in texts.slice(start, batch_size).to_pylist()]
+                vectors.append(list_column(np.asarray(encoder(some), dtype=float)))
+            yield pa.concat_arrays(vectors)
 
     return docs.withColumn(output, encode(F.col(text)))
 
