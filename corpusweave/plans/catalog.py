@@ -751,7 +751,7 @@ def closest_to_centroid(spark, sf_dir):
 def _closest(spark, sf_dir, shown: str) -> DataFrame:
     """The document shown for every source, by what its text measures, and for every label, by its embedding."""
     measured = labelled_documents(spark, sf_dir)
-    embedded = vectors(spark, sf_dir)
+    embedded = vectors(spark, sf_dir).where("vector is not null and not exists(vector, x -> x is null)")
     texts = measured.select("doc_id", "text", "name")
     found = [
         interpret.excerpts(interpret.closest_to_centroid(rows), texts, name="name").select(F.lit(kind).alias("kind"), "cluster", "doc_id", shown)

@@ -78,7 +78,7 @@ def test_keyword_ranking_limits_before_the_shuffle(spark):
 def test_closest_documents_come_from_all_documents_and_all_embeddings(spark, tmp_path, name, shown):
     texts = ["a", "bb e", "ccc dd", "e e e e e", None]
     spark.createDataFrame([(i, t, f"src{i % 2}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    points = [(3, [0.0, 1.0], 7), (4, [0.0, 4.0], 7), (1, [9.0, 9.0], 7), (99, [5.0, 5.0], 8)]
+    points = [(3, [0.0, 1.0], 7), (4, [0.0, 4.0], 7), (1, [9.0, 9.0], 7), (99, [5.0, 5.0], 8), (0, None, 8), (2, [1.0, None], 7)]
     spark.createDataFrame(points, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["kind"], r["cluster"]): (r["doc_id"], r[shown]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
     assert sorted(got) == [("embedding", 7), ("embedding", 8), ("text", 0), ("text", 1)]
