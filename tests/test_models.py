@@ -160,6 +160,19 @@ def test_rounds_give_the_tree_of_single_merges(spark, monkeypatch, linkage, metr
     assert [labels[10 + i] for i in range(70)] == ag.cut(whole, 70, 6).tolist()
 
 
+def test_many_copies_take_few_rounds(spark):
+    x = np.random.default_rng(4).normal(size=(60, 4))
+    x = np.vstack([x, np.repeat(x[:2], [150, 40], axis=0)])[np.random.default_rng(5).permutation(250)]
+    rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "id bigint, weight int, vector array<double>").repartition(4)
+    tree = merging.merge_rounds(rows, rest=20)
+    assert len(tree.rounds) < 20
+    whole, steps = ag.merge_summaries(np.ones(250), x), tree.numbered().orderBy("step").toPandas().to_numpy(dtype=float)
+    assert np.allclose(steps[190:, 3:], whole[190:, 2:], atol=1e-7)
+    assert (steps[:190, 3] == 0).all() and len({*steps[:, 1], *steps[:, 2]}) == 2 * len(steps) == 498
+    labels = {r["id"]: r["cluster"] for r in tree.cut(0, 7).collect()}
+    assert [labels[i] for i in range(250)] == ag.cut(whole, 250, 7).tolist()
+
+
 def test_ward_rounds_on_500_rows_and_copies(spark):
     x = np.random.default_rng(3).normal(size=(450, 8))
     x = np.vstack([x, np.repeat(x[:5], 10, axis=0)])
