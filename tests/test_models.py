@@ -33,6 +33,39 @@ def test_partial_sums(spark, blobs, points):
 # --- K-Means ------------------------------------------------------------------------------------
 
 
+def test_kmeans_restarts_share_passes(spark):
+    """All restarts move on in one pass over the rows, to the centres that Spark ML finds one by one."""
+    from pyspark.ml.clustering import KMeans
+
+    from corpusweave.functions.vectors import to_ml
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, vector array<double>").coalesce(1).persist()
+    context = spark.sparkContext
+    context.setJobGroup("shared-passes", "")
+    fit = kmeans.fit_kmeans(df, 6, n_init=5, max_iter=40, tol=0.0)
+    starts = len(context.statusTracker().getJobIdsForGroup("shared-passes"))
+    kmeans.fit_kmeans(df, 6, n_init=5, max_iter=10, tol=0.0)
+    more = len(context.statusTracker().getJobIdsForGroup("shared-passes")) - starts
+    context._jsc.clearJobGroup()
+    assert starts - more <= 3 * 30  # thirty passes more, whatever the restarts
+    ready = df.select(to_ml(F.col("vector")).alias("f")).persist()
+    for restart in range(5):
+        alone = KMeans(featuresCol="f", k=6, seed=42 + restart, maxIter=40, tol=0.0).fit(ready)
+        assert np.isclose(alone.summary.trainingCost, fit.inertias[restart], rtol=1e-9)
+        if fit.inertia == fit.inertias[restart]:
+            assert np.allclose(np.array(alone.clusterCenters()), fit.cluster_centers)
+
+
+def test_kmeans_nearest_rows_of_ties():
+    """Equal distances go to the first centre, also far from the origin where products round."""
+    rows = np.array([[1e6, 1.0], [1e6, 0.0], [1e6, 3.0]])
+    centers = np.array([[1e6, 2.0], [1e6, 0.0], [1e6, 2.0], [1e6, 4.0], [1e6, 2.0]])
+    labels, gaps = kmeans.nearest_rows(rows, centers, np.array([2, 5]))
+    assert labels.tolist() == [[0, 1, 0], [2, 2, 2]] and np.allclose(gaps, [[1, 0, 1], [1, 4, 1]])
+
+
 def test_kmeans_recovers_blobs(spark, blobs, points, tmp_path):
     fit = kmeans.fit_kmeans(blobs.drop("cluster"), 3, n_init=4)
     assert fit.inertia == min(fit.inertias) and len(fit.inertias) == 4
