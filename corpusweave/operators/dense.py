@@ -8,15 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as tx
-from corpusweave.functions.vectors import list_column, to_dense, to_double, to_ml
-from corpusweave.operators.bounds import MAX_BROADCAST_CELLS, lookup_join
+from corpusweave.functions.vectors import list_column, to_dense, to_double
+from corpusweave.operators.bounds import MAX_BROADCAST_CELLS, frequent_join
 from corpusweave.operators.tfidf import term_frequency
-from corpusweave.session import ship_package
+from corpusweave.session import set_down, ship_package
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -126,15 +125,17 @@ def mean_word_vectors(
     known word gets the zero vector.
     """
     grams = docs.select(key, tx.terms(F.coalesce(F.col(text), F.lit(""))).alias("grams"))
-    width = word_vectors.select(F.size("vector")).first()[0]
-    known = lookup_join(
-        term_frequency(grams, key),
-        word_vectors.select("term", "vector"),
-        "term",
-        F.col(key),
-        max_rows=MAX_BROADCAST_CELLS // width,
-    )
-    mean = Summarizer.mean(to_ml(F.col("vector")), F.col("tf").cast("double"))
-    means = known.groupBy(key).agg(to_dense(mean).alias(output))
+    words = set_down(word_vectors.select("term", "vector"), "words")
+    width = words.select(F.size("vector")).first()[0]
+    sums = word_vector_sums(term_frequency(grams, key), words, width, key)
+    means = sums.select(key, F.transform("total", lambda v: v / F.col("n_known")).alias(output))
     zero = F.array_repeat(F.lit(0.0), width)
     return docs.select(key).join(means, key, "left").withColumn(output, F.coalesce(output, zero))
+
+
+def word_vector_sums(counts: DataFrame, words: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
+    """``(key, n_known, total)``: occurrences of known ``words`` (term, vector) among ``counts`` (key, term,
+    tf), and the sum of their vectors. A document's rows are added up where they are made."""
+    known = frequent_join(counts, words, "term", F.xxhash64(key), max_rows=MAX_BROADCAST_CELLS // width)
+    cells = [F.sum(F.col("tf") * F.get("vector", i)) for i in range(width)]
+    return known.groupBy(key).agg(F.sum("tf").alias("n_known"), F.array(*cells).alias("total"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusweave.functions import text as tx
-from corpusweave.operators.bounds import MAX_BROADCAST_ROWS, lookup_join
+from corpusweave.operators.bounds import MAX_BROADCAST_ROWS, frequent_join
 from corpusweave.operators.numbering import number_rows
 from corpusweave.session import cut_lineage
 
@@ -199,9 +199,8 @@ class TfidfModel:
             named = long.join(F.broadcast(names), "term_index", "left" if keep_empty else "inner")
             return named.select(key, "term", "weight")
         counts = term_frequency(document_terms(docs.select(key, text), self.config, text), key)
-        known = lookup_join(
-            counts, self._table.select("term", "idf"), "term", F.col(key), max_rows=MAX_BROADCAST_ROWS
-        )
+        frequency = self._table.select("term", F.col("df").alias("n"))
+        known = frequent_join(counts, self._table.select("term", "idf"), "term", F.col(key), frequency, max_rows=MAX_BROADCAST_ROWS)
         raw = known.withColumn("raw", F.col("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
         weights = raw.select(key, "term", (F.col("raw") / norm).alias("weight"))

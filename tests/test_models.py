@@ -475,3 +475,29 @@ def test_scatter_tables(blobs, caplog):
     with pytest.raises(ValueError):
         plotdata.scatter_all(blobs, ["mds"])
     assert plotdata.scatter_umap(blobs).count() == 120
+
+
+def test_frequent_keys_are_joined_without_a_shuffle(spark):
+    """Of a lookup too large for a broadcast the frequent keys are broadcast, the others shuffled, and no row is lost."""
+    from corpusweave.operators import bounds
+
+    facts = spark.createDataFrame([(i, "often" if i % 10 else f"rare{i % 70}") for i in range(2_000)], "doc_id bigint, term string")
+    facts = facts.union(spark.createDataFrame([(9_000, "unknown"), (9_001, None)], facts.schema))
+    lookup = spark.createDataFrame([("often", 1.0), *((f"rare{i}", 2.0 + i) for i in range(70))], "term string, idf double")
+    expected = sorted(map(tuple, facts.join(lookup, "term").select("doc_id", "term", "idf").collect()))
+    for frequency in (None, lookup.select("term", F.when(F.col("term") == "often", 1_800).otherwise(3).alias("n"))):
+        got = bounds.frequent_join(facts, lookup, "term", F.col("doc_id"), frequency, max_rows=5)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, got.select("doc_id", "term", "idf").collect())) == expected and len(expected) == 2_000
+        assert "Union" in plan and "_salt" in plan
+    ties = bounds.frequent_join(facts, lookup, "term", F.col("doc_id"), lookup.select("term", F.lit(7).alias("n")), max_rows=5)
+    assert ties.count() == 2_000
+
+
+def test_word_vector_sums_shuffle_a_row_per_document(spark):
+    """Many more documents than the groups after which Spark's object aggregates sort their input."""
+    docs = spark.createDataFrame([(i, "aa bb " * 3 + "cc" * (1 + i % 2)) for i in range(1_000)], "doc_id bigint, text string").coalesce(1)
+    words = spark.createDataFrame([("aa", [1.0, 2.0]), ("bb", [3.0, 6.0])], "term string, vector array<double>")
+    means = dense.mean_word_vectors(docs, words)
+    assert "ObjectHashAggregate" not in means._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r["vector"]) for r in means.collect()} == {(2.0, 4.0)}
