@@ -83,3 +83,8 @@ def test_closest_documents_come_from_all_documents_and_all_embeddings(spark, tmp
     got = {(r["kind"], r["cluster"]): (r["doc_id"], r[shown]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
     assert sorted(got) == [("embedding", 7), ("embedding", 8), ("text", 0), ("text", 1)]
     assert got["embedding", 7][0] == 4 and got["embedding", 8] == (99, None)
+
+
+def test_word2vec_check_adds_up_whole_vectors(spark):
+    """No row per word and dimension: the check's plan takes no vector apart."""
+    assert "posexplode" not in plan_of(contract.queries()["word2vec_means"](spark, SMALL))
