@@ -97,12 +97,13 @@ def svd_axes(spark, sf_dir):
     """Axes are orthonormal, A'Av = s^2 v but for a thousandth of the largest square, and the projections' squares add up to s^2."""
     docs = spread_documents(spark, sf_dir).select("doc_id", "text")
     model = tfidf.fit_tfidf(docs)
-    fitted = svd.fit_truncated_svd(set_down(model.vectors(docs), "tfidf"), 10, model.n_terms, n_iter=12)
-    reduced = set_down(fitted.transform(model.vectors(docs)).select("doc_id", "tfidf", "reduced"), "reduced")
-    entries = tfidf.entries(reduced, "tfidf", ["reduced"]).select("term_index", F.posexplode(F.transform("reduced", lambda v: v * F.col("weight"))).alias("axis", "value"))
+    rows = set_down(model.vectors(docs).select("doc_id", "tfidf"), "tfidf")
+    fitted = svd.fit_truncated_svd(rows, 10, model.n_terms, n_iter=12)
+    reduced = set_down(fitted.transform(rows).select("doc_id", "tfidf", "reduced"), "reduced")
+    sums = F.array(*[F.sum(F.col("weight") * F.get("reduced", axis)) for axis in range(10)])  # a row per entry, not per entry and axis
     moved = np.zeros_like(fitted.components)
-    for row in entries.groupBy("term_index", "axis").agg(F.sum("value").alias("value")).toArrow().to_pylist():  # as large as the axes
-        moved[row["term_index"], row["axis"]] = row["value"]
+    for row in tfidf.entries(reduced, "tfidf", ["reduced"]).groupBy("term_index").agg(sums.alias("sums")).toArrow().to_pylist():  # as large as the axes
+        moved[row["term_index"]] = row["sums"]
     squares = fitted.singular_values**2
     residual = np.linalg.norm(moved - fitted.components * squares, axis=0).max() / squares[0]
     unit = np.abs(fitted.components.T @ fitted.components - np.eye(10)).max()

@@ -88,3 +88,17 @@ def test_closest_documents_come_from_all_documents_and_all_embeddings(spark, tmp
 def test_word2vec_check_adds_up_whole_vectors(spark):
     """No row per word and dimension: the check's plan takes no vector apart."""
     assert "posexplode" not in plan_of(contract.queries()["word2vec_means"](spark, SMALL))
+
+
+def test_svd_check_sums_entries_by_term(spark, monkeypatch):
+    """The check of the axes makes a row per entry of the matrix, not per entry and axis, and computes the matrix once."""
+    from corpusweave.operators import tfidf
+    from corpusweave.plans import invariants
+
+    made, taken = [], []
+    vectors, posexplode = tfidf.TfidfModel.vectors, F.posexplode
+    monkeypatch.setattr(tfidf.TfidfModel, "vectors", lambda *a, **k: made.append(1) or vectors(*a, **k))
+    monkeypatch.setattr(F, "posexplode", lambda column: taken.append(1) or posexplode(column))
+    row = invariants.QUERIES["svd_axes"](spark, SMALL).first()
+    assert row["orthonormal"] and row["eigen_equation"] and row["lengths_agree"]
+    assert len(made) == 1 and len(taken) == 1  # the projections' lengths
