@@ -28,6 +28,7 @@ from corpusweave.session import scratch_path, ship_package
 BLOCK_TOKENS = 1 << 19  # a block is closed when it holds this many
 END_ID = 0
 CACHED_UNITS = 1_500_000  # a worker empties its dictionary of encoded units when it holds this many
+JOINT_UNITS = 128  # units that go to the library in one string
 # number of bytes of each of the four values that a control byte stands for
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -70,12 +71,35 @@ class UnitIds(dict):
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        # In a byte-level vocabulary a token has a character for each byte.
+        vocab = self.library.get_vocab()
+        self.sizes = np.zeros(1 + max(vocab.values(), default=0), np.int64)
+        self.sizes[list(vocab.values())] = [len(token) for token in vocab]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         code = "H" if self.kind == "<u2" else "I"
         return [array(code, x.ids).tobytes() for x in found]
 
+    def encode_units(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of each unit. Units of a space and a word are encoded many in one string, whose pre-tokens
+        begin anew at every space; the bytes that the ids stand for say where a unit ends. Where they
+        do not meet the ends of the units, and for other units, each is encoded by itself."""
+        found: dict[str, bytes] = {}
+        joint = [u for u in units if len(u) > 1 and u[0] == " " and not u[1].isspace()]
+        groups = [joint[i : i + JOINT_UNITS] for i in range(0, len(joint), JOINT_UNITS)]
+        width = int(self.kind[-1])
+        for group, coded in zip(groups, self.encode(["".join(g) for g in groups]), strict=True):
+            reached = np.cumsum(self.sizes[np.frombuffer(coded, self.kind)])
+            ends = np.cumsum([len(u.encode()) for u in group])
+            place = np.searchsorted(reached, ends)
+            if len(reached) and place[-1] == len(reached) - 1 and (reached[place] == ends).all():
+                cuts = [0, *(width * (place + 1)).tolist()]
+                found.update((u, coded[a:b]) for u, a, b in zip(group, cuts, cuts[1:], strict=False))
+        rest = [u for u in units if u not in found]
+        found.update(zip(rest, self.encode(rest), strict=True))
+        return found
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """One look-up for each unit; the units not seen before are encoded once for all texts. A text
         with a special string in it goes to the library as a whole."""
@@ -93,10 +117,12 @@ class UnitIds(dict):
                 gaps += [(parts, i, units[i]) for i, p in enumerate(parts) if p is None]
             rows.append(parts)
         fresh = list({unit for _, _, unit in gaps})
-        found = dict(zip(fresh, self.encode(fresh), strict=True))
+        found = self.encode_units(fresh)
         for parts, i, unit in gaps:
             parts[i] = found[unit]
-        self.update((u, x) for u, x in found.items() if len(u) <= 64)
+        for unit in [u for u in fresh if len(u) > 64]:  # not kept
+            del found[unit]
+        self.update(found)
         return [b"".join(parts) for parts in rows]
 
 

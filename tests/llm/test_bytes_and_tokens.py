@@ -170,3 +170,23 @@ def test_text_bytes_of_slices_and_nulls():
     data, offsets = bytehash.text_bytes(column)
     assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 0, 2]
     assert list(bytehash.slices(np.array([0, 5, 6, 20]), 6)) == [(0, 2), (2, 3)]
+
+
+def test_units_are_encoded_together(library):
+    """New words take one call of the library for many of them, and get the ids they have by themselves."""
+    coder = token_files.UnitIds(open(JSON, encoding="utf-8").read())
+    strings, inner = [], coder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            strings.extend(texts)
+            return inner.encode_batch_fast(texts, **options)
+
+    coder.library = Counted()
+    words = [f" w{i}é日x{i * i}" for i in range(1_000)] + [" don't", " ''s", " \x1c", " ", "\n", "first", " " + "long" * 40, " 🙂s", "  "]
+    found = coder.encode_units(words)
+    assert len(strings) <= 1_000 // token_files.JOINT_UNITS + 10
+    ids = {w: inner.encode(w, add_special_tokens=False).ids for w in words}
+    assert {w: np.frombuffer(x, coder.kind).tolist() for w, x in found.items()} == ids
+    coder.sizes = np.ones_like(coder.sizes)  # ends that do not meet: each unit by itself
+    assert {w: np.frombuffer(x, coder.kind).tolist() for w, x in coder.encode_units(words).items()} == ids
