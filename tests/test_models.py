@@ -428,6 +428,37 @@ def test_layout_of_a_path_converges(spark):
     assert np.linalg.svd(found.T @ vectors[:, [-2, -3]])[1].min() > 0.999
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_layout_steps_over_blocks_of_nodes(spark, monkeypatch, small):
+    """A round sets down a row per block of nodes; broadcast or shuffled, the layout solves its graph."""
+    n, held = 80, []
+    monkeypatch.setattr(neighbours, "BLOCK_NODES", 20)
+    if not small:
+        monkeypatch.setattr(neighbours, "MAX_BROADCAST_CELLS", 1)
+        monkeypatch.setattr(neighbours, "MAX_BROADCAST_ROWS", 1)
+
+    def counted(df, cut=neighbours.cut_lineage):
+        done = cut(df)
+        held.append(done.count())
+        return done
+
+    monkeypatch.setattr(neighbours, "cut_lineage", counted)
+    pairs = [(i, j, 1.0 + (i * j) % 3) for i in range(n) for j in (i + 1, i + 7, i + 31) if j < n]
+    odd = [(3, 3, 2.0), (None, 4, 1.0), (5, 200, 1.0)]  # a loop, a null and a node without edges of its own
+    edges = spark.createDataFrame([*pairs, *((b, a, w) for a, b, w in pairs), *odd], "src bigint, dst bigint, weight double")
+    rows = neighbours.spectral_layout(edges, 2).orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(n)) and rows[0]["residual"] <= 1e-5
+    assert max(held[1:]) <= 4 and held[0] <= 16
+    matrix = np.zeros((n, n))
+    for a, b, w in pairs:
+        matrix[a, b] = matrix[b, a] = w
+    loops = matrix.sum(axis=1) + 2.0 * (np.arange(n) == 3) + 1.0 * (np.arange(n) == 5)
+    degree = loops + matrix.sum(axis=1)
+    _, vectors = np.linalg.eigh((matrix + np.diag(loops)) / np.sqrt(np.outer(degree, degree)))
+    found = np.linalg.qr(np.array([r["vector"] for r in rows]))[0]
+    assert np.linalg.svd(found.T @ vectors[:, [-2, -3]])[1].min() > 0.999
+
+
 # --- dense vectors ------------------------------------------------------------------------------
 
 
