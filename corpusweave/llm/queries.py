@@ -18,7 +18,7 @@ from corpusweave.llm.periodic_runs import periodic_runs
 from corpusweave.llm.quality_classifier import fit_quality, held_out, score_quality
 from corpusweave.llm.quality_rules import quality_rules
 from corpusweave.llm.simhash import simhash_groups
-from corpusweave.llm.suffix_dedup import remove_repeats
+from corpusweave.llm.suffix_dedup import PASSAGE_WORDS, remove_repeats
 from corpusweave.llm.token_counts import count_tokens
 from corpusweave.llm.token_files import read_token_files, write_token_files
 from corpusweave.llm.vector_search import exact_top_k
@@ -77,7 +77,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True, passage_words=PASSAGE_WORDS)
 
 
 @query

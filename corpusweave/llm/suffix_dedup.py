@@ -3,9 +3,10 @@
 A string of ``length`` bytes is decided by its suffix array, but the whole corpus need not be sorted.
 Every string has one *anchor*: of the ``ANCHOR_BYTES`` long windows inside it, the first with the
 smallest hash. Equal strings have equal anchors at the same distance. A *context* is a run of strings
-with one anchor. Only contexts whose anchor hash occurs twice can repeat; equal contexts are counted
-and one of each is kept, with its count as weight. These are laid out in shards, so that contexts with
-one anchor hash meet in a shard, or in all pairs of shards if the hash is too frequent for one.
+with one anchor. Only contexts whose anchor hash occurs twice can repeat. If all contexts of an anchor
+hash are equal, all their strings repeat; else equal contexts are counted and one of each is kept, with
+its count as weight. These are laid out in shards, so that contexts with one anchor hash meet in a
+shard, or in all pairs of shards if the hash is too frequent for one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import suffix_arrays
 from corpusweave.llm.bytehash import mix, powers, prefix_sums, slices, sliding_min, span_hashes, split_words, text_bytes
-from corpusweave.session import scratch_path, set_down, ship_package
+from corpusweave.session import scratch_path, scratch_scope, set_down, ship_package
 
 LENGTH = 400  # bytes
 ANCHOR_BYTES = 200
@@ -135,7 +136,7 @@ def _shard_runs(group: pa.Table, length: int) -> pa.Table:
     else:
         found = [np.zeros(len(shards[0].data), bool)]
     runs = [r for shard, f in zip(shards, found, strict=True) for r in shard.runs(f)]
-    table = pa.table({"key": group["key"], "digest": group["digest"], "runs": pa.array(runs, pa.list_(pa.int32()))})
+    table = pa.table({"kind": group["kind"], "key": group["key"], "digest": group["digest"], "runs": pa.array(runs, pa.list_(pa.int32()))})
     return table.filter(pa.array([len(r) > 0 for r in runs], pa.bool_()))
 
 
@@ -145,6 +146,14 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A code of four bytes for each word of all texts, and where each text's words begin."""
+    words, offsets = split_words(texts)
+    found = pc.dictionary_encode(words)
+    names = np.array([xxhash.xxh32_intdigest(w) for w in found.dictionary.to_pylist()], "<u4")
+    return names[found.indices.to_numpy()] if len(words) else names, offsets
+
+
 def coded_words(rows: DataFrame) -> DataFrame:
     """``rows`` of :func:`keyed_texts` with the texts as their words, each a code of four bytes: a string
     of 4 n bytes that begins at a word is then n words. Words are runs without ASCII space."""
@@ -152,11 +161,8 @@ def coded_words(rows: DataFrame) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, offsets = split_words(batch.column(2))
-            found = pc.dictionary_encode(words)
-            names = np.array([xxhash.xxh32_intdigest(w) for w in found.dictionary.to_pylist()], "<u4")
-            data = names[found.indices.to_numpy()].tobytes() if len(words) else b""
-            ends = (offsets * _WORD_BYTES).tolist()
+            codes, offsets = word_codes(batch.column(2))
+            data, ends = codes.tobytes(), (offsets * _WORD_BYTES).tolist()
             parts = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["_id", "_th", "_text"])
 
@@ -164,82 +170,126 @@ def coded_words(rows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(
-    rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS
+    rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS, passage_words: int | None = None
 ) -> DataFrame:
-    """(_id, _th, spans) for ``rows`` (_id, _th, _text) that have repeats: a list of (first, end) byte
-    ranges, each a run of repeated strings.
+    """(_id, _th, spans, passages) for ``rows`` (_id, _th, _text) that have repeats. ``spans`` is a list of
+    (first, end) byte ranges, each a run of repeated strings.
 
-    Rows with equal ids stay apart by _th, and rows equal in both share spans.
+    With ``passage_words`` the sequences of that many words are searched in the same jobs, in the texts
+    written as four bytes a word; ``passages`` are their ranges in bytes of those texts. Rows with equal
+    ids stay apart by _th, and rows equal in both share spans.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    kind = rows.schema["_id"].dataType.simpleString()
+    kind_of_id = rows.schema["_id"].dataType.simpleString()
+    # by kind: bytes of a unit, of a string, of an anchor
+    kinds = [(1, length, anchor)]
+    if passage_words:
+        kinds.append((_WORD_BYTES, passage_words * _WORD_BYTES, max(1, passage_words // 2) * _WORD_BYTES))
+    lengths = [string for _, string, _ in kinds]
+    string_bytes = F.when(F.col("kind") == 0, lengths[0]).otherwise(lengths[-1])
+
+    def layouts(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, a: int, b: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Units of the texts a to b of a batch, and where each text begins."""
+        if kind:
+            return word_codes(texts.slice(a, b - a))
+        return data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for a, b in slices(offsets, _SLICE):
-                part = offsets[a : b + 1]
-                row, key, digest, start, count = contexts(data[part[0] : part[-1]], part - part[0], length, anchor)
-                if len(row):
-                    at = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(digest),
-                         pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                        ["_id", "_th", "key", "digest", "start", "n"],
-                    )
-
-    def written(frame: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
+                for kind, (unit, string, part) in enumerate(kinds):
+                    body, begins = layouts(batch.column(2), data, offsets, a, b, kind)
+                    row, key, digest, start, count = contexts(body, begins, string // unit, part // unit)
+                    if len(row):
+                        at = pa.array(row + a)
+                        # strings that begin inside a unit are taken along
+                        start, count = start * unit, (count - 1) * unit + 1
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(row), kind, np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(digest),
+                             pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                            ["kind", "_id", "_th", "key", "digest", "start", "n"],
+                        )
+
+    def written(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
+        path = path or scratch_path(spark, name)
         frame.write.parquet(path)
         return spark.read.parquet(path)
 
-    every = written(rows.mapInArrow(anchored, f"_id {kind}, _th long, key long, digest long, start int, n int"), "contexts")
-    # a table of its own: joined with the contexts, a frequent key can then be split
-    keys = written(
-        every.groupBy("key")
-        .agg(F.count("*").alias("m"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-        .where("m > 1")
-        .select("key", (F.col("low") != F.col("high")).alias("mixed")),
-        "keys",
-    )
-    repeats = written(every.join(keys, "key"), "repeats")
+    kept = scratch_path(spark, "repeats")
+    with scratch_scope(spark):
+        every = written(rows.mapInArrow(anchored, f"kind int, _id {kind_of_id}, _th long, key long, digest long, start int, n int"), "contexts")
+        # a table of its own: joined with the contexts, a frequent key can then be split
+        keys = written(
+            every.groupBy("kind", "key")
+            .agg(F.count("*").alias("m"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+            .where("m > 1")
+            .select("kind", "key", (F.col("low") != F.col("high")).alias("mixed")),
+            "keys",
+        )
+        repeats = written(every.join(keys, ["kind", "key"]), "repeats", kept)
     distinct = written(
-        repeats.groupBy("key", "digest", "mixed")
+        repeats.where("mixed")
+        .groupBy("kind", "key", "digest")
         .agg(F.count("*").alias("weight"), F.min(F.struct("_id", "_th", "start", "n")).alias("first"))
-        .select("key", "digest", "mixed", "weight", "first.*"),
+        .select("kind", "key", "digest", "weight", "first.*"),
         "distinct",
     )
-    size = distinct.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    large = written(distinct.where("mixed").groupBy("key").count().where(F.col("count") > split_contexts), "frequent")
+    sizes = {r["kind"]: r["size"] for r in distinct.groupBy("kind").agg(F.sum(F.col("n") + (string_bytes - 1)).alias("size")).collect()}  # two at most
+    shards = [max(1, -(-sizes.get(kind, 0) // shard_bytes)) for kind in range(len(kinds))]
+    large = written(distinct.groupBy("kind", "key").count().where(F.col("count") > split_contexts), "frequent")
     if large.count() <= MAX_BROADCAST_ROWS:  # at most one of ``split_contexts`` distinct contexts
         large = F.broadcast(large)
     parts = F.coalesce(F.ceil(F.col("count") / split_contexts), F.lit(1)).cast("int")
-    home = F.pmod(F.when(F.col("mixed"), F.xxhash64("key")).otherwise(F.xxhash64("_id", "_th")), F.lit(shards))
+    home = F.pmod(F.xxhash64("key"), F.when(F.col("kind") == 0, shards[0]).otherwise(shards[-1]))
     laid = (
-        distinct.join(large, "key", "left")
-        .withColumns({"parts": parts, "shard": F.when(F.col("count").isNull(), home).otherwise(F.col("key"))})
-        .withColumns({"part": F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"), "alone": F.col("count").isNotNull()})
+        distinct.join(large, ["kind", "key"], "left")
+        .withColumns({"parts": parts, "shard": F.when(F.col("count").isNull(), home).otherwise(F.col("key")), "alone": F.col("count").isNotNull()})
+        .withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    )
+    columns = {"kind": "int", "key": "long", "digest": "long", "weight": "long", "start": "int", "n": "int", "alone": "boolean", "shard": "long", "part": "int", "parts": "int"}
+    asked = laid.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(F.collect_list(F.struct(*columns)).alias("asked"))
+
+    def with_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            for a, b in slices(offsets, _SLICE):
+                some = batch.column(3).slice(a, b - a)
+                row, flat = pc.list_parent_indices(some).to_numpy(), some.flatten()
+                kind, start, n = (flat.field(name).to_numpy() for name in ("kind", "start", "n"))
+                for k in np.unique(kind).tolist():
+                    at = np.flatnonzero(kind == k)
+                    body, begins = layouts(batch.column(2), data, offsets, a, b, k)
+                    body, first = body.tobytes(), begins[row[at]] * kinds[k][0] + start[at]
+                    bodies = [body[x:y] for x, y in zip(first.tolist(), (first + n[at] + lengths[k] - 1).tolist(), strict=True)]
+                    chosen, owner = flat.take(pa.array(at)), pa.array(row[at] + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(chosen.field(name) for name in columns), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(bodies, pa.binary())],
+                        [*columns, "_id", "_th", "body"],
+                    )
+
+    bodied = (
+        rows.join(asked, rows._id.eqNullSafe(asked._i) & (rows._th == asked._t))
+        .select("_id", "_th", "_text", "asked")
+        .mapInArrow(with_bodies, ", ".join(f"{name} {kind}" for name, kind in columns.items()) + f", _id {kind_of_id}, _th long, body binary")
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
         .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-        .select("key", "digest", "weight", F.col("_id").alias("_i"), F.col("_th").alias("_t"), "start", "n", "alone", "shard", "part", "low", "high")
-    )
-    bodied = rows.join(laid, rows._id.eqNullSafe(laid._i) & (rows._th == laid._t)).select(
-        "key", "digest", "weight", "_id", "_th", "start", "n", "alone", "shard", "part", "low", "high",
-        F.expr(f"substring(cast(_text as binary), start + 1, n + {length - 1})").alias("body"),
+        .drop("parts", "other")
     )
-    runs = bodied.groupBy("alone", "shard", "low", "high").applyInArrow(
-        lambda group: _shard_runs(group, length), "key long, digest long, runs array<int>"
+    runs = bodied.groupBy("kind", "alone", "shard", "low", "high").applyInArrow(
+        lambda group: _shard_runs(group, lengths[group["kind"][0].as_py()]), "kind int, key long, digest long, runs array<int>"
     )
-    spans = (
-        repeats.join(runs, ["key", "digest"])
-        .select("_id", "_th", "start", F.explode(F.expr("transform(sequence(0, size(runs) - 1, 2), i -> struct(runs[i] as a, runs[i + 1] as b))")).alias("r"))
-        .select("_id", "_th", F.struct((F.col("start") + F.col("r.a")).alias("first"), (F.col("start") + F.col("r.b") + (length - 1)).alias("end")).alias("span"))
-        .groupBy("_id", "_th")
-        .agg(F.collect_set("span").alias("spans"))
+    some = (
+        repeats.where("mixed")
+        .join(runs, ["kind", "key", "digest"])
+        .select("kind", "_id", "_th", "start", F.explode(F.expr("transform(sequence(0, size(runs) - 1, 2), i -> struct(runs[i] as a, runs[i + 1] as b))")).alias("r"))
+        .select("kind", "_id", "_th", "start", "r.a", "r.b")
     )
-    return spans
+    found = repeats.where("not mixed").select("kind", "_id", "_th", "start", F.lit(0).alias("a"), F.col("n").alias("b")).union(some)
+    span = F.struct((F.col("start") + F.col("a")).alias("first"), (F.col("start") + F.col("b") + (string_bytes - 1)).alias("end"))
+    lists = [F.collect_set(F.when(F.col("kind") == kind, span)).alias(name) for kind, name in enumerate(("spans", "passages"))]
+    return found.groupBy("_id", "_th").agg(*lists)
 
 
 def cover(spans: list[dict]) -> list[tuple[int, int]]:
@@ -253,9 +303,15 @@ def cover(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
+def whole_words(spans: list[dict]) -> list[dict]:
+    """Byte ranges of :func:`coded_words` texts as ranges of words: a string may take in bytes of a
+    neighbouring word that happen to be alike."""
+    return [{"first": -(-s["first"] // _WORD_BYTES), "end": s["end"] // _WORD_BYTES} for s in spans]
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False,
-    shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS, anchor: int = ANCHOR_BYTES,
+    shard_bytes: int = SHARD_BYTES, split_contexts: int = SPLIT_CONTEXTS, anchor: int = ANCHOR_BYTES, passage_words: int | None = None,
 ) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, ``kept`` (binary, the bytes left) and
     ``text`` (the same as a string, without characters that a cut splits).
@@ -265,33 +321,40 @@ def remove_repeats(
     and empty texts give 0 bytes; texts shorter than ``length`` are whole; repeated rows repeat each
     other's texts and so lose them; null ids are kept; other columns are not read. With ``digest`` the
     kept bytes are replaced in the task by kept_sha256.
+
+    With ``passage_words`` a column n_passage_words says how many words of the input lie in passages of
+    that many words or more that occur more than once (those that :func:`drop_repeats` takes out). They
+    may be shorter than ``length`` bytes; they are counted, not removed.
     """
     rows = keyed_texts(docs, id_col, text_col)
-    spans = repeated_spans(rows, length, anchor, shard_bytes, split_contexts)
-    spans = spans.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "spans")
-    joined = rows.join(spans, rows._id.eqNullSafe(spans._i) & (rows._th == spans._t), "left").select(F.col("_id").alias(id_col), "_text", "spans")
+    spans = repeated_spans(rows, length, anchor, shard_bytes, split_contexts, passage_words)
+    spans = spans.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "spans", "passages")
+    joined = rows.join(spans, rows._id.eqNullSafe(spans._i) & (rows._th == spans._t), "left").select(F.col("_id").alias(id_col), "_text", "spans", "passages")
     last, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
+    extra = {"n_passage_words": "long"} if passage_words else {}
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            found: list[list] = [[], [], [], [], []]
-            for i, spans in enumerate(batch.column(2)):
+            found: list[list] = [[], [], [], [], [], []]
+            for i, (spans, passages) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 body = data[offsets[i] : offsets[i + 1]].tobytes()
                 runs = cover(spans.as_py() or [])
+                n_words = sum(b - a for a, b in cover(whole_words(passages.as_py() or [])))
                 edges = [0, *(x for run in runs for x in run), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 for column, value in zip(
                     found,
-                    (len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept, kept.decode(errors="ignore")),
+                    (len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept, kept.decode(errors="ignore"), n_words),
                     strict=True,
                 ):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(found, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_bytes", "n_removed", "n_spans", last, "text"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.string(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(found, types, strict=True)][: 5 + len(extra)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_bytes", "n_removed", "n_spans", last, "text", *extra])
 
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, {last} {kind}, text string"
+    schema += "".join(f", {name} {type_}" for name, type_ in extra.items())
     return joined.mapInArrow(cleaned, schema)
 
 
@@ -315,10 +378,6 @@ def drop_repeats(
     )
     joined = own.join(spans, own._id.eqNullSafe(spans._i) & (own._th == spans._t), "left").select("_row", "_text", "spans")
 
-    def whole_words(found: list[dict]) -> list[dict]:
-        # a string may take in bytes of a neighbouring word that happen to be alike
-        return [{"first": -(-s["first"] // _WORD_BYTES), "end": s["end"] // _WORD_BYTES} for s in found]
-
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -204,6 +204,24 @@ def test_no_passage_of_another_document_is_left(spark):
     assert {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in drop_repeats(docs).collect()} == want
 
 
+@pytest.mark.parametrize("settings_", [{}, {"passage_words": 7, "split_contexts": 2, "shard_bytes": 2_000}])
+def test_repeated_passages_under_400_bytes_are_counted_and_stay(spark, odd_docs, settings_):
+    settings_ = {"passage_words": 50, **settings_}
+    short = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz1")  # 56 words, 167 bytes
+    planted = spark.createDataFrame([(20, "its own start " + short), (21, short.replace(" ", "\n") + " another end")], "doc_id bigint, text string")
+    docs = odd_docs.select("doc_id", "text").union(planted)
+    source = docs.collect()
+    texts = [r["text"] or "" for r in source]
+    kept = kept_words(texts, settings_["passage_words"])
+    repeated = [len(re.findall(r"[^\x20\x09-\x0D]+", t)) - len(k) for t, k in zip(texts, kept, strict=True)]
+    got = remove_repeats(docs, digest=True, **settings_).collect()
+    want = results([t.encode() for t in texts], 400)
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in got) == sorted(
+        (r["doc_id"] or -1, *w, n) for r, w, n in zip(source, want, repeated, strict=True)
+    )
+    assert {r.doc_id: (r.n_removed, r.n_passage_words) for r in got if r.doc_id in (20, 21)} == {20: (0, 56), 21: (0, 56)}
+
+
 def test_cover_joins_touching_ranges():
     assert cover([{"first": 5, "end": 9}, {"first": 0, "end": 5}, {"first": 12, "end": 13}]) == [(0, 9), (12, 13)]
     assert cover([]) == []
