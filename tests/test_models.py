@@ -206,6 +206,17 @@ def test_many_copies_take_few_rounds(spark):
     assert [labels[i] for i in range(250)] == ag.cut(whole, 250, 7).tolist()
 
 
+def test_thousands_of_ward_clusters_take_no_round_over_tables(spark):
+    x = np.random.default_rng(6).normal(size=(2_500, 4))
+    rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "id bigint, weight int, vector array<double>").repartition(4)
+    tree = merging.merge_rounds(rows)
+    assert tree.rounds == []
+    whole, steps = ag.merge_summaries(np.ones(2_500), x), tree.numbered().orderBy("step").toPandas().to_numpy(dtype=float)
+    assert np.allclose(steps[:, 1:], whole)
+    labels = {r["id"]: r["cluster"] for r in tree.cut(0, 7).collect()}
+    assert [labels[i] for i in range(2_500)] == ag.cut(whole, 2_500, 7).tolist()
+
+
 def test_ward_rounds_on_500_rows_and_copies(spark):
     x = np.random.default_rng(3).normal(size=(450, 8))
     x = np.vstack([x, np.repeat(x[:5], 10, axis=0)])
