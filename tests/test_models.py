@@ -439,6 +439,19 @@ def test_layout_of_a_path_converges(spark):
     assert np.linalg.svd(found.T @ vectors[:, [-2, -3]])[1].min() > 0.999
 
 
+def test_large_layouts_are_not_broadcast(spark, monkeypatch):
+    """A million numbers are 8 MB in each of several forms on the driver; 615,360 nodes have 5.5 of them."""
+    assert neighbours.SMALL_CELLS < 300_000 * 9 and neighbours.SMALL_ROWS < 300_000
+    monkeypatch.setattr(neighbours, "SMALL_CELLS", 10)
+    monkeypatch.setattr(neighbours, "SMALL_ROWS", 10)
+    held = []
+    monkeypatch.setattr(neighbours.F, "broadcast", lambda df: held.append(df) or df)
+    pairs = [(i, i + 1) for i in range(11)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src bigint, dst bigint, weight double")
+    rows = neighbours.spectral_layout(edges, 2, oversampling=3).collect()
+    assert not held and len(rows) == 12 and rows[0]["residual"] <= 1e-5
+
+
 @pytest.mark.parametrize("cells", [8_000_000, 1_000, 1])
 def test_layout_steps_over_blocks_of_nodes(spark, monkeypatch, cells):
     """A round, or a step where a round's broadcasts are too large together, sets down a row per block of nodes;
