@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -488,6 +489,18 @@ def test_layout_steps_over_blocks_of_nodes(spark, monkeypatch, cells):
 # --- dense vectors ------------------------------------------------------------------------------
 
 
+def test_svd_multiplies_a_bounded_number_of_entries(monkeypatch):
+    monkeypatch.setattr(svd, "CHUNK_ENTRIES", 10)
+    lengths = [3, 0, 4, 4, 25, 0, 0, 2, 9, 1]
+    indices = pa.array([list(range(n)) for n in lengths], pa.list_(pa.int32()))
+    values = pa.array([[float(i + 1)] * n for i, n in enumerate(lengths)], pa.list_(pa.float64()))
+    chunks = [*svd._chunks(indices.slice(1), values.slice(1))]
+    assert all(len(c.idx) <= 10 or c.rows == 1 for c in chunks) and sum(c.rows for c in chunks) == 9
+    axes = np.random.default_rng(0).normal(size=(25, 3))
+    want = np.array([axes[:n].sum(axis=0) * (i + 1) for i, n in enumerate(lengths)])[1:]
+    assert np.allclose(np.vstack([c.project(axes) for c in chunks]), want)
+
+
 def test_encoder_is_built_once_and_fed_small_batches(spark):
     df = spark.createDataFrame([(i, f"w{i} w{i % 3}" if i else None) for i in range(50)], "doc_id bigint, text string").coalesce(1)
 
